@@ -15,9 +15,14 @@ def most_common(column: Column | str) -> Column:
     return F.mode(column, True)
 
 
-def sum_or_zero(column: Column | str) -> Column:
-    """A sum that is 0, not null, over a group without values."""
-    return F.coalesce(F.sum(column), F.lit(0.0))
+def money_sum(column: Column | str) -> Column:
+    """Sum of amounts, 0 over a group without values.
+
+    The last digits of a floating-point sum depend on the order in which a shuffle
+    delivers the rows. Rounding to a millionth removes them, so equal amounts stay equal
+    and every evaluation of a plan gives the same value.
+    """
+    return F.coalesce(F.round(F.sum(column), 6), F.lit(0.0))
 
 
 def guarded_corr(x: Column, y: Column) -> Column:

@@ -16,8 +16,18 @@ def _col(column: Column | str) -> Column:
 
 
 def micros_between(start: Column | str, end: Column | str) -> Column:
-    """`end - start` in microseconds; keeps sub-second parts."""
-    return F.timestamp_diff("MICROSECOND", _col(start), _col(end))
+    """`end - start` of two timestamp_ntz in microseconds.
+
+    The parts of the interval do not depend on the session time zone, which
+    `timestamp_diff` would apply.
+    """
+    span = _col(end) - _col(start)
+
+    def part(unit: str) -> Column:
+        return F.extract(F.lit(unit), span)
+
+    seconds = (part("DAY") * 24 + part("HOUR")) * 3600 + part("MINUTE") * 60
+    return seconds.cast("long") * 1_000_000 + (part("SECOND") * 1_000_000).cast("long")
 
 
 def days_between(start: Column | str, end: Column | str) -> Column:
@@ -35,9 +45,7 @@ def epoch_micros(column: Column | str) -> Column:
 
 
 def from_epoch_micros(micros: Column) -> Column:
-    return F.expr(EPOCH) + F.make_dt_interval(
-        F.lit(0), F.lit(0), F.lit(0), (micros / F.lit(1e6)).cast("decimal(18,6)")
-    )
+    return F.timestamp_add("MICROSECOND", F.round(micros).cast("long"), F.expr(EPOCH))
 
 
 def clip(column: Column, lower: float | None = None, upper: float | None = None) -> Column:

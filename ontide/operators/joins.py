@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass, replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,27 +18,43 @@ def row_width(df: DataFrame) -> int:
     return 16 + sum(_WIDTH.get(data_type, 8) for _, data_type in df.dtypes)
 
 
-def is_small(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> bool:
-    """Count the rows and compare the estimated size with the limit.
+@dataclass(frozen=True)
+class Lookup:
+    """A table with one row per key, and its number of rows."""
+
+    table: DataFrame
+    rows: int
+
+    def extended(self, table: DataFrame) -> Lookup:
+        """The same rows with other columns."""
+        return replace(self, table=table)
+
+    def is_small(self, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> bool:
+        return self.rows * row_width(self.table) <= limit_bytes
+
+
+def sized_lookups(tables: Mapping[str, DataFrame]) -> dict[str, Lookup]:
+    """Count the lookup tables, in one job.
 
     The optimizer only knows file sizes: it overestimates a lookup built from joins and
-    would shuffle the fact table for it. For a parquet table the count reads footers.
+    would shuffle the facts for it. For a parquet table the count reads footers.
     """
-    return df.count() * row_width(df) <= limit_bytes
+    counts = None
+    for name, table in tables.items():
+        row = table.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows")
+        counts = row if counts is None else counts.unionByName(row)
+    found = {r["name"]: r["rows"] for r in counts.collect()}
+    return {name: Lookup(table, found[name]) for name, table in tables.items()}
 
 
 def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    key: str,
-    limit_bytes: int = BROADCAST_LIMIT_BYTES,
+    facts: DataFrame, lookup: Lookup, key: str, limit_bytes: int = BROADCAST_LIMIT_BYTES
 ) -> DataFrame:
-    """Left join on one key against a table with one row per key.
+    """Left join on one key.
 
     A lookup below the limit is broadcast, so the facts do not move. A larger one is
     joined by shuffle; when one key holds a large share of the facts, adaptive execution
     splits its partition, which a left join allows on the fact side.
     """
-    if is_small(lookup, limit_bytes):
-        lookup = F.broadcast(lookup)
-    return facts.join(lookup, key, "left")
+    table = F.broadcast(lookup.table) if lookup.is_small(limit_bytes) else lookup.table
+    return facts.join(table, key, "left")

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontide.contract import DELIVERED_STATUS
-from ontide.functions.aggregates import count_where, most_common, sum_or_zero
+from ontide.functions.aggregates import count_where, money_sum, most_common
 from ontide.functions.columns import days_between, flag
-from ontide.operators.joins import lookup_join
+from ontide.operators.joins import Lookup, lookup_join, sized_lookups
 
 LABEL_DATES = [
     "order_purchase_timestamp",
@@ -115,8 +115,8 @@ def with_time_parts(orders: DataFrame) -> DataFrame:
         {
             "purchase_year": F.year(bought),
             "purchase_month_num": F.month(bought),
-            "purchase_month": F.date_format(bought, "MMMM"),
-            "purchase_day_of_week": F.date_format(bought, "EEEE"),
+            "purchase_month": F.date_format(F.to_date(bought), "MMMM"),
+            "purchase_day_of_week": F.date_format(F.to_date(bought), "EEEE"),
             "purchase_hour": F.hour(bought),
         }
     )
@@ -137,16 +137,28 @@ def enrich_items(
     The narrow translation is joined to the products first: that touches each product
     once instead of each item.
     """
-    described = lookup_join(with_volume(products), translation, "product_category_name")
-    places = sellers.select("seller_id", "seller_city", "seller_state")
-    return lookup_join(lookup_join(items, described, "product_id"), places, "seller_id")
+    lookups = sized_lookups(
+        {"products": products, "category_translation": translation, "sellers": sellers}
+    )
+    return _enrich(items, lookups)
+
+
+def _enrich(items: DataFrame, lookups: dict[str, Lookup]) -> DataFrame:
+    described = lookup_join(
+        with_volume(lookups["products"].table),
+        lookups["category_translation"],
+        "product_category_name",
+    )
+    places = lookups["sellers"].table.select("seller_id", "seller_city", "seller_state")
+    with_products = lookup_join(items, lookups["products"].extended(described), "product_id")
+    return lookup_join(with_products, lookups["sellers"].extended(places), "seller_id")
 
 
 def item_measures(enriched: DataFrame) -> DataFrame:
     """Sums, means and modes per order; all of them combine before the shuffle."""
     return enriched.groupBy("order_id").agg(
-        sum_or_zero("price").alias("total_price"),
-        sum_or_zero("freight_value").alias("total_freight"),
+        money_sum("price").alias("total_price"),
+        money_sum("freight_value").alias("total_freight"),
         F.count("order_item_id").alias("item_count"),
         F.avg("product_weight_g").alias("avg_product_weight_g"),
         F.avg("product_length_cm").alias("avg_product_length_cm"),
@@ -177,15 +189,20 @@ def item_features(
     with very many items is spread by its (order, product) and (order, seller) pairs.
     Both sides end partitioned by order_id, so joining them moves nothing.
     """
-    measures = item_measures(enrich_items(items, products, translation, sellers))
-    return measures.join(item_variety(items), "order_id", "left").select(
-        "order_id", *ITEM_FEATURE_COLUMNS
+    return _per_order(items, enrich_items(items, products, translation, sellers))
+
+
+def _per_order(items: DataFrame, enriched: DataFrame) -> DataFrame:
+    return (
+        item_measures(enriched)
+        .join(item_variety(items), "order_id", "left")
+        .select("order_id", *ITEM_FEATURE_COLUMNS)
     )
 
 
 def payment_features(payments: DataFrame) -> DataFrame:
     return payments.groupBy("order_id").agg(
-        sum_or_zero("payment_value").alias("total_payment_value"),
+        money_sum("payment_value").alias("total_payment_value"),
         F.max("payment_installments").alias("max_payment_installments"),
         F.count("payment_sequential").alias("payment_count"),
         most_common("payment_type").alias("main_payment_type"),
@@ -209,16 +226,14 @@ def order_mart(tables: dict[str, DataFrame], by_date: bool = False) -> DataFrame
     that is unique on the key.
     """
     orders = with_time_parts(with_durations(delivered_orders(tables["orders"]), by_date))
-    customers = tables["customers"].select("customer_id", "customer_city", "customer_state")
-    items = item_features(
-        tables["order_items"],
-        tables["products"],
-        tables["category_translation"],
-        tables["sellers"],
+    lookups = sized_lookups(
+        {n: tables[n] for n in ("customers", "products", "category_translation", "sellers")}
     )
+    places = lookups["customers"].table.select("customer_id", "customer_city", "customer_state")
+    items = tables["order_items"]
     return (
-        lookup_join(orders, customers, "customer_id")
-        .join(items, "order_id", "left")
+        lookup_join(orders, lookups["customers"].extended(places), "customer_id")
+        .join(_per_order(items, _enrich(items, lookups)), "order_id", "left")
         .join(payment_features(tables["payments"]), "order_id", "left")
         .join(review_features(tables["reviews"]), "order_id", "left")
         .select(*MART_COLUMNS)

@@ -327,8 +327,10 @@ def describe(df: DataFrame) -> DataFrame:
     aggregates = [F.count(_quoted(n)).alias(f"count__{i}") for i, n in enumerate(df.columns)]
     for i, n in enumerate(df.columns):
         if n in measured:
+            # Microseconds since 1970 overflow the exact range of a double when summed.
+            summed = _quoted(n).cast("decimal(20,0)") if n in times else _quoted(n)
             aggregates += [
-                F.avg(_quoted(n)).alias(f"mean__{i}"),
+                F.avg(summed).cast("double").alias(f"mean__{i}"),
                 F.stddev_samp(_quoted(n)).alias(f"std__{i}"),
                 F.min(_quoted(n)).cast("double").alias(f"min__{i}"),
                 F.max(_quoted(n)).cast("double").alias(f"max__{i}"),

@@ -100,20 +100,18 @@ def _narrow(df: DataFrame, brackets: list[Bracket], accuracy: int) -> list[Brack
 
 def _pick(df: DataFrame, brackets: list[Bracket]) -> dict[tuple[str, int], float]:
     """Values at the wanted ranks, from the few distinct values inside the brackets."""
-    spans = {}
+    spans: dict[tuple, list[Bracket]] = {}
     for bracket in brackets:
         spans.setdefault((bracket.column, bracket.lower, bracket.upper), []).append(bracket)
-    entries, wanted = [], []
-    for key, members in enumerate(spans.values()):
-        bracket = members[0]
-        entries.append(
-            F.struct(
-                F.lit(key).alias("span"),
-                F.when(bracket.contains(), F.col(bracket.column)).alias("value"),
-            )
+    members = list(spans.values())
+    wanted = [sorted({r - b.below for b in group for r in (b.first, b.last)}) for group in members]
+    entries = [
+        F.struct(
+            F.lit(span).alias("span"),
+            F.when(group[0].contains(), F.col(group[0].column)).alias("value"),
         )
-        ranks = {r for b in members for r in (b.first, b.last)}
-        wanted += [(key, bracket.column, rank, rank - bracket.below) for rank in sorted(ranks)]
+        for span, group in enumerate(members)
+    ]
     counts = (
         df.select(F.inline(F.array(*entries)))
         .filter(F.col("value").isNotNull())
@@ -122,14 +120,22 @@ def _pick(df: DataFrame, brackets: list[Bracket]) -> dict[tuple[str, int], float
     )
     order = Window.partitionBy("span").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.withColumn("upto", F.sum("count").over(order))
-    targets = df.sparkSession.createDataFrame(
-        wanted, "span int, name string, rank long, position long"
-    )
-    hits = ranked.join(F.broadcast(targets), "span").filter(
-        (F.col("position") < F.col("upto"))
-        & (F.col("position") >= F.col("upto") - F.col("count"))
+    positions = F.element_at(
+        F.array(*[F.array(*[F.lit(p) for p in group]) for group in wanted]), F.col("span") + 1
     )
-    return {(r["name"], r["rank"]): r["value"] for r in hits.select("name", "rank", "value").collect()}
+    hits = ranked.filter(
+        F.exists(
+            positions,
+            lambda p: (p < F.col("upto")) & (p >= F.col("upto") - F.col("count")),
+        )
+    ).collect()
+    found = {}
+    for hit in hits:
+        group = members[hit["span"]]
+        for position in wanted[hit["span"]]:
+            if hit["upto"] - hit["count"] <= position < hit["upto"]:
+                found[group[0].column, position + group[0].below] = hit["value"]
+    return found
 
 
 def order_statistics(

@@ -667,7 +667,7 @@ def score_inputs(spark: SparkSession, folder: str) -> DataFrame:
     staged = stage(mart(spark, folder))
     inputs = scoring.scoring_inputs(scoring.order_profiles(staged), ft.fit_preprocessor(staged))
     numeric = [c for c in ft.FINAL_FEATURE_COLUMNS if not c.endswith("_encoded")]
-    return rounded(inputs.select("order_id", *numeric), 4)
+    return rounded(inputs.select("order_id", *numeric))
 
 
 @query

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,17 +44,23 @@ def shared_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="ontide-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)
     return configured
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Checkpoint `df` in the shared folder.
+    """Write `df` to the shared folder and read it back.
 
     Operators that read their input more than once stage it first. It saves the
-    recomputation, and it keeps the passes consistent: a floating-point sum may differ
-    in its last digit from one evaluation of a shuffle to the next.
+    recomputation, it survives the loss of executors, and it keeps the passes consistent:
+    a floating-point mean may differ in its last digit from one evaluation of a shuffle
+    to the next. The files lie under the application's id, so they can be removed once
+    the application has ended.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    application = spark.sparkContext.applicationId
+    path = f"{shared_dir(spark)}/ontide-stage/{application}/{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -118,12 +118,13 @@ def read_star(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def delivery_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """All mapped tables, lazily."""
-    tables = {}
-    for name, (sources, text) in VIEWS.items():
-        inputs = {source: read_star(spark, folder, source) for source in sources}
-        tables[name] = spark.sql(text, **inputs)
-    return tables
+    """All mapped tables, lazily. Each source file is opened once."""
+    sources = {name for needed, _ in VIEWS.values() for name in needed}
+    opened = {name: read_star(spark, folder, name) for name in sorted(sources)}
+    return {
+        name: spark.sql(text, **{source: opened[source] for source in needed})
+        for name, (needed, text) in VIEWS.items()
+    }
 
 
 def view_ctes(names: tuple[str, ...] | None = None, prefix: str = "dl_") -> str:

@@ -114,7 +114,7 @@ ITEMS = f"""{ENRICHED},
 {mode_cte('mode_state', 'enriched', 'seller_state')},
 {mode_cte('mode_city', 'enriched', 'seller_city')},
 item_features AS (
-  SELECT e.order_id, sum(price) AS total_price, sum(freight_value) AS total_freight,
+  SELECT e.order_id, round(sum(price), 6) AS total_price, round(sum(freight_value), 6) AS total_freight,
          count(order_item_id) AS item_count, count(DISTINCT product_id) AS product_count,
          count(DISTINCT seller_id) AS seller_count,
          avg(product_weight_g) AS avg_product_weight_g,
@@ -132,7 +132,7 @@ item_features AS (
 PAYMENTS = f"""
 {mode_cte('mode_payment', 'dl_payments', 'payment_type')},
 payment_features AS (
-  SELECT p.order_id, sum(payment_value) AS total_payment_value,
+  SELECT p.order_id, round(sum(payment_value), 6) AS total_payment_value,
          max(payment_installments) AS max_payment_installments,
          count(payment_sequential) AS payment_count, min(mode_payment.v) AS main_payment_type
   FROM dl_payments p LEFT JOIN mode_payment ON p.order_id = mode_payment.order_id
@@ -470,7 +470,7 @@ def describe_time(table: str, c: str) -> str:
         return f"make_timestamp(CAST(round({expression}) AS BIGINT))"
 
     return f"""SELECT '{c}', count({c}), {_NO_NUMBER},
-      {at(f'avg({micros})')}, min({c}), {at(f'quantile_cont({micros}, 0.25)')},
+      {at(f'avg(epoch_us({c}))')}, min({c}), {at(f'quantile_cont({micros}, 0.25)')},
       {at(f'quantile_cont({micros}, 0.5)')}, {at(f'quantile_cont({micros}, 0.75)')}, max({c}),
       {_NO_TEXT} FROM dl_{table}"""
 
@@ -1087,7 +1087,6 @@ add(
     CURVE,
     f"""SELECT {r('threshold')} AS threshold, {r('fp / n')} AS fpr, {r('tp / p')} AS tpr FROM rated
         WHERE next_late IS NULL OR late <> next_late OR on_time <> next_on_time
-          OR threshold = (SELECT max(threshold) FROM rated WHERE FALSE)
         UNION ALL SELECT NULL, 0.0, 0.0""",
     ORDERS,
 )
@@ -1160,8 +1159,8 @@ _PROFILE_VALUES = {
 def profile_value(column: str) -> str:
     value = _PROFILE_VALUES.get(column, f"d.{column}")
     if column not in _GAP_FEATURES:
-        return f"{r(value, 4)} AS {column}"
-    return f"{r(f'coalesce(CAST({value} AS DOUBLE), f.{column})', 4)} AS {column}"
+        return f"{r(value)} AS {column}"
+    return f"{r(f'coalesce(CAST({value} AS DOUBLE), f.{column})')} AS {column}"
 
 
 add(
@@ -1219,7 +1218,9 @@ add(
 
 
 def fixed(expression: str, digits: int) -> str:
-    return f"printf('%.4f', round({expression}, {digits}))"
+    # Half away from zero on the decimal value, as Spark rounds.
+    exact = f"CAST(CAST({expression} AS VARCHAR) AS DECIMAL(28, 12))"
+    return f"printf('%.4f', CAST(round({exact}, {digits}) AS DOUBLE))"
 
 
 _SUMMARY = {
