@@ -3,43 +3,58 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations_with_replacement
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontide.contract import CORRELATION_COLUMNS, TARGET_COLUMN
-from ontide.functions.aggregates import guarded_corr
 
 
-def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """(feature_a, feature_b, correlation) for the given pairs, null for a constant column.
+def _named(index: Column, names: Sequence[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(n) for n in names]), index + 1)
 
-    Each pair uses the rows where both columns are known. A row is turned into one row
-    per pair, which a compact aggregate combines before the shuffle: the shuffle carries
-    one row per task and pair. A single wide aggregate with every pair is too large to
-    compile.
+
+def pair_correlations(
+    df: DataFrame, columns: Sequence[str], others: Sequence[str] | None = None
+) -> DataFrame:
+    """(feature_a, feature_b, correlation) of each column with each of `others`.
+
+    Without `others` it is every pair of `columns` in one order, a column with itself
+    included. Each pair uses the rows where both are known; a constant gives null.
+
+    A row becomes one row per pair of known values, which a compact aggregate combines
+    before the shuffle, so the shuffle carries one row per task and pair. One wide
+    aggregate over all pairs is too large to compile, and an array of pair structs
+    takes seven times as long as the two explodes.
     """
-    names = sorted({name for pair in pairs for name in pair})
-    values = df.select(*[F.col(n).cast("double").alias(n) for n in names])
-    entries = [
-        F.struct(F.lit(i).alias("pair"), F.col(a).alias("x"), F.col(b).alias("y"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    rows = values.select(F.inline(F.array(*entries)))
-    correlated = rows.groupBy("pair").agg(
-        guarded_corr(F.col("x"), F.col("y")).alias("correlation")
+    def vector(names: Sequence[str]) -> Column:
+        return F.array(*[F.col(n).cast("double") for n in names])
+
+    mirrored = others is None
+    others = list(columns) if others is None else list(others)
+    first = df.select(vector(others).alias("right"), F.posexplode(vector(columns)).alias("i", "x"))
+    second = first.filter(F.col("x").isNotNull()).select(
+        "i", "x", F.posexplode("right").alias("j", "y")
     )
-    labels = F.create_map(
-        *[
-            part
-            for i, (a, b) in enumerate(pairs)
-            for part in (F.lit(i), F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")))
-        ]
+    known = second.filter(F.col("y").isNotNull())
+    if mirrored:
+        known = known.filter(F.col("i") <= F.col("j"))
+    spread = F.stddev_pop("x") * F.stddev_pop("y")
+    measured = known.groupBy("i", "j").agg(
+        F.try_divide(F.covar_pop("x", "y"), spread).alias("correlation")
     )
-    label = F.element_at(labels, F.col("pair"))
-    return correlated.select(
-        label["a"].alias("feature_a"), label["b"].alias("feature_b"), "correlation"
+    # Pairs without a common known row are part of the result.
+    pairs = [
+        (i, j)
+        for i in range(len(columns))
+        for j in range(len(others))
+        if not mirrored or i <= j
+    ]
+    frame = df.sparkSession.createDataFrame(pairs, "i int, j int")
+    return frame.join(F.broadcast(measured), ["i", "j"], "left").select(
+        _named(F.col("i"), columns).alias("feature_a"),
+        _named(F.col("j"), others).alias("feature_b"),
+        "correlation",
     )
 
 
@@ -48,7 +63,7 @@ def correlation_matrix(
 ) -> DataFrame:
     """The full symmetric matrix in long form; absent columns are skipped."""
     present = [c for c in columns if c in df.columns]
-    half = pair_correlations(df, list(combinations_with_replacement(present, 2)))
+    half = pair_correlations(df, present)
     # The half matrix is a few rows per column, so it is mirrored without a second pass.
     cells = F.array(
         F.struct(F.col("feature_a").alias("feature_a"), F.col("feature_b").alias("feature_b")),
@@ -67,9 +82,9 @@ def correlation_with_target(
     target: str = TARGET_COLUMN,
 ) -> DataFrame:
     """Correlation of each column with the target, strongest first."""
-    pairs = [(c, target) for c in columns if c in df.columns and c != target]
+    present = [c for c in columns if c in df.columns and c != target]
     return (
-        pair_correlations(df, pairs)
+        pair_correlations(df, present, [target])
         .select(
             F.col("feature_a").alias("feature"),
             F.col("correlation").alias("correlation_with_late_delivery"),

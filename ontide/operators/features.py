@@ -182,14 +182,14 @@ def fit_labels(
     present = [c for c in columns if c in df.columns]
     if not present:
         return {}
-    cells = [F.struct(F.lit(c).alias("name"), _labelled(c).alias("label")) for c in present]
-    found = df.select(F.inline(F.array(*cells))).distinct()
+    cells = F.posexplode(F.array(*[_labelled(c) for c in present])).alias("at", "label")
+    found = df.select(cells).distinct()
     rows = found.limit(MAX_LABELS + 1).collect()
     if len(rows) > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} labels in {present}; not categories")
     labels: dict[str, list[str]] = {c: [] for c in present}
     for row in rows:
-        labels[row["name"]].append(row["label"])
+        labels[present[row["at"]]].append(row["label"])
     return {c: sorted(found) for c, found in labels.items()}
 
 

@@ -61,27 +61,20 @@ def _quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def long_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column_name, value) with one row per cell, values as text."""
-    columns = list(columns or df.columns)
-    cells = [
-        F.struct(F.lit(c).alias("column_name"), _quoted(c).cast("string").alias("value"))
-        for c in columns
-    ]
-    return df.select(F.inline(F.array(*cells)))
-
-
 def value_histogram(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column_name, value, count) of non-null values.
+    """(column_name, value, count) of non-null values, as text.
 
     A value that fills a large share of a column combines before the shuffle, and a
     column of unique values is spread over all tasks.
     """
-    return (
-        long_values(df, columns)
-        .filter(F.col("value").isNotNull())
-        .groupBy("column_name", "value")
-        .count()
+    columns = list(columns or df.columns)
+    cells = df.select(
+        F.posexplode(F.array(*[_quoted(c).cast("string") for c in columns])).alias("at", "value")
+    )
+    counts = cells.filter(F.col("value").isNotNull()).groupBy("at", "value").count()
+    names = F.array(*[F.lit(c) for c in columns])
+    return counts.select(
+        F.element_at(names, F.col("at") + 1).alias("column_name"), "value", "count"
     )
 
 
@@ -410,7 +403,7 @@ def feature_report(
         )
         for i, c in enumerate(features)
     ]
-    correlations = pair_correlations(data, [(c, target) for c in features]).select(
+    correlations = pair_correlations(data, features, [target]).select(
         F.col("feature_a").alias("feature"),
         F.round("correlation", 4).alias("corr_with_is_late"),
     )
@@ -475,18 +468,22 @@ def derived_feature_stats(
     df: DataFrame, features: Sequence[str] = DERIVED_FEATURES, target: str = TARGET_COLUMN
 ) -> DataFrame:
     """Mean, nulls and target correlation of the derived features."""
+    target_value = F.col(target).cast("double")
+    aggregates = []
+    for i, c in enumerate(features):
+        x = F.col(c).cast("double")
+        aggregates += [
+            F.avg(x).alias(f"mean__{i}"),
+            count_null(x).alias(f"null_count__{i}"),
+            guarded_corr(x, target_value).alias(f"corr__{i}"),
+        ]
     entries = [
         F.struct(
-            F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"), F.col(target).alias("y")
+            F.lit(c).alias("feature"),
+            F.col(f"mean__{i}").alias("mean"),
+            F.col(f"null_count__{i}").alias("null_count"),
+            F.col(f"corr__{i}").alias("corr_with_is_late"),
         )
-        for c in features
+        for i, c in enumerate(features)
     ]
-    return (
-        df.select(F.inline(F.array(*entries)))
-        .groupBy("feature")
-        .agg(
-            F.avg("x").alias("mean"),
-            count_null("x").alias("null_count"),
-            guarded_corr(F.col("x"), F.col("y")).alias("corr_with_is_late"),
-        )
-    )
+    return df.agg(*aggregates).select(F.inline(F.array(*entries)))

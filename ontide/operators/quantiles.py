@@ -105,15 +105,9 @@ def _pick(df: DataFrame, brackets: list[Bracket]) -> dict[tuple[str, int], float
         spans.setdefault((bracket.column, bracket.lower, bracket.upper), []).append(bracket)
     members = list(spans.values())
     wanted = [sorted({r - b.below for b in group for r in (b.first, b.last)}) for group in members]
-    entries = [
-        F.struct(
-            F.lit(span).alias("span"),
-            F.when(group[0].contains(), F.col(group[0].column)).alias("value"),
-        )
-        for span, group in enumerate(members)
-    ]
+    inside = [F.when(group[0].contains(), F.col(group[0].column)) for group in members]
     counts = (
-        df.select(F.inline(F.array(*entries)))
+        df.select(F.posexplode(F.array(*inside)).alias("span", "value"))
         .filter(F.col("value").isNotNull())
         .groupBy("span", "value")
         .count()

@@ -28,6 +28,19 @@ def typed_column(column: str, data_type: str) -> Column:
     return nan_to_null(raw.try_cast(data_type)).alias(column)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Distribute a scan that has fewer tasks than the cluster has cores.
+
+    A parquet file with one row group or a multi-line CSV file is read by one task. Such
+    a table is small enough to be cut by its key, which later joins and aggregates on
+    that key reuse. A scan with enough tasks stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def load_table(
     spark: SparkSession, name: str, root: str, fmt: str = "csv", path: str | None = None
 ) -> DataFrame:
@@ -56,7 +69,8 @@ def load_table(
     optional = {"shipping_limit_date", "review_creation_date", "review_answer_timestamp"}
     if set(absent) - optional:
         raise ValueError(f"table {name!r} lacks columns {sorted(set(absent) - optional)}")
-    return raw.select(*[typed_column(c, spec.types.get(c, "string")) for c in raw.columns])
+    typed = raw.select(*[typed_column(c, spec.types.get(c, "string")) for c in raw.columns])
+    return spread(typed, "order_id") if spec.multiline else typed
 
 
 def load_all_tables(
