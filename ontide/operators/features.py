@@ -126,13 +126,21 @@ class Preprocessor:
 
 
 def fit_fill_values(
-    df: DataFrame, numeric: Sequence[str] | None = None, text: Sequence[str] | None = None
+    df: DataFrame,
+    numeric: Sequence[str] | None = None,
+    text: Sequence[str] | None = None,
+    stable: bool = False,
 ) -> tuple[dict[str, float], dict[str, str]]:
-    """Median per numeric and most frequent value per text column, for columns with nulls."""
+    """Median per numeric and most frequent value per text column, for columns with nulls.
+
+    `stable=True` promises that `df` repeats its values exactly, so it is not staged.
+    """
     default_numeric, default_text = imputable_columns(df)
     numeric = default_numeric if numeric is None else list(numeric)
     text = default_text if text is None else list(text)
-    data = stage(df.select(*numeric, *text))
+    data = df.select(*numeric, *text)
+    if not stable:
+        data = stage(data)
     nulls = data.agg(
         F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(f"known_{c}") for c in numeric + text]
     ).first()
@@ -246,7 +254,7 @@ def fit_preprocessor(mart: DataFrame) -> Preprocessor:
     ]
     text = [c for c in CATEGORICAL_COLUMNS if c in derived.columns]
     data = stage(derived.select(*numeric, *text))
-    numeric_fill, text_fill = fit_fill_values(data, numeric, text)
+    numeric_fill, text_fill = fit_fill_values(data, numeric, text, stable=True)
     labels = fit_labels(apply_fill_values(data, {}, text_fill), text)
     encoded = {f"{c}_encoded" for c in text}
     features = [c for c in FINAL_FEATURE_COLUMNS if c in numeric or c in encoded]

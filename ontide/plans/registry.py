@@ -519,7 +519,7 @@ def impute_values(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def imputed_mart(spark: SparkSession, folder: str) -> DataFrame:
     staged = stage(derived(spark, folder))
-    numeric_fill, text_fill = ft.fit_fill_values(staged)
+    numeric_fill, text_fill = ft.fit_fill_values(staged, stable=True)
     filled = ft.apply_fill_values(staged, numeric_fill, text_fill)
     return rounded(
         filled.select(
