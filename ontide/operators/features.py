@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ontide.contract import (
     APPROVAL_HOURS_MAX,
     CATEGORICAL_COLUMNS,
+    DERIVED_FEATURES,
     EDA_ONLY_COLUMNS,
     FINAL_FEATURE_COLUMNS,
     FREIGHT_RATIO_MAX,
@@ -36,6 +37,16 @@ from ontide.sources.cleaning import coerce_timestamps
 
 MAX_LABELS = 100_000
 
+# Mart columns the feature matrix is made of.
+MATRIX_SOURCES = [
+    "order_id",
+    "order_purchase_timestamp",
+    "order_approved_at",
+    *[c for c in FINAL_FEATURE_COLUMNS if c not in DERIVED_FEATURES and not c.endswith("_encoded")],
+    *CATEGORICAL_COLUMNS,
+    TARGET_COLUMN,
+]
+
 
 def freight_ratio(freight: Column, price: Column) -> Column:
     return F.try_divide(freight, price + 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -286,16 +286,20 @@ def missing_values(tables: Mapping[str, DataFrame], approx: bool = False) -> Dat
 
 
 def top_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per column: distinct values, the most frequent one (smallest on a tie), its count."""
-    histogram = value_histogram(df, columns)
-    best = Window.partitionBy("column_name").orderBy(F.desc("count"), "value")
-    first = (
-        histogram.withColumn("place", F.row_number().over(best))
-        .filter(F.col("place") == 1)
-        .select("column_name", F.col("value").alias("top"), F.col("count").alias("freq"))
+    """Per column: distinct values, the most frequent one (smallest on a tie), its count.
+
+    One aggregate with a fixed-size buffer per column, also for a column of unique values.
+    """
+    most_frequent_first = F.struct(-F.col("count"), F.col("value"))
+    return (
+        value_histogram(df, columns)
+        .groupBy("column_name")
+        .agg(
+            F.count(F.lit(1)).alias("unique_values"),
+            F.min_by("value", most_frequent_first).alias("top"),
+            F.max("count").alias("freq"),
+        )
     )
-    distinct = histogram.groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_values"))
-    return distinct.join(F.broadcast(first), "column_name", "left")
 
 
 def describe(df: DataFrame) -> DataFrame:

@@ -271,12 +271,3 @@ def category_list(mart: DataFrame) -> DataFrame:
         .distinct()
         .orderBy("main_product_category")
     )
-
-
-def worst_of(report: DataFrame, dimension: str, alias: str) -> DataFrame:
-    """The top row's value of a `late_rate_by` report, smallest value on a tie."""
-    top = report.groupBy().agg(F.max("late_rate_pct").alias("top_rate"))
-    return (
-        report.join(F.broadcast(top), F.col("late_rate_pct") == F.col("top_rate"))
-        .agg(F.coalesce(F.min(dimension), F.lit("N/A")).alias(alias))
-    )

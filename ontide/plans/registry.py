@@ -8,7 +8,12 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ontide.contract import CATEGORICAL_COLUMNS, DEFAULT_THRESHOLD, ON_TIME_SHORT_LABEL
+from ontide.contract import (
+    CATEGORICAL_COLUMNS,
+    DEFAULT_THRESHOLD,
+    DERIVED_FEATURES,
+    ON_TIME_SHORT_LABEL,
+)
 from ontide.functions.columns import rounded
 from ontide.operators import evaluate as ev
 from ontide.operators import features as ft
@@ -59,7 +64,7 @@ def derived(spark: SparkSession, folder: str) -> DataFrame:
 
 def matrix(spark: SparkSession, folder: str) -> DataFrame:
     """Feature matrix with fill values and labels learned from the whole mart."""
-    staged = stage(mart(spark, folder))
+    staged = stage(mart(spark, folder).select(*ft.MATRIX_SOURCES))
     return ft.feature_matrix(staged, ft.fit_preprocessor(staged))
 
 
@@ -259,11 +264,7 @@ def product_volume(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def derived_features(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(derived(spark, folder).select("order_id", *ft_derived()))
-
-
-def ft_derived() -> list[str]:
-    return list(prof.DERIVED_FEATURES)
+    return rounded(derived(spark, folder).select("order_id", *DERIVED_FEATURES))
 
 
 @query
@@ -552,7 +553,7 @@ def portable_split_balance(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def stratified_split_balance(spark: SparkSession, folder: str) -> DataFrame:
     orders = mt.with_durations(mt.delivered_orders(delivery_tables(spark, folder)["orders"]))
-    return split.split_balance(split.stratified_split(orders))
+    return rounded(split.split_balance(split.stratified_split(orders)))
 
 
 @query
@@ -664,7 +665,7 @@ def threshold_comparison(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def score_inputs(spark: SparkSession, folder: str) -> DataFrame:
-    staged = stage(mart(spark, folder))
+    staged = stage(mart(spark, folder).select(*ft.MATRIX_SOURCES))
     inputs = scoring.scoring_inputs(scoring.order_profiles(staged), ft.fit_preprocessor(staged))
     numeric = [c for c in ft.FINAL_FEATURE_COLUMNS if not c.endswith("_encoded")]
     return rounded(inputs.select("order_id", *numeric))
@@ -672,7 +673,7 @@ def score_inputs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def risk_factors(spark: SparkSession, folder: str) -> DataFrame:
-    staged = stage(mart(spark, folder))
+    staged = stage(mart(spark, folder).select(*ft.MATRIX_SOURCES))
     profiles = scoring.order_profiles(staged)
     found = scoring.risk_factors(profiles, ft.fit_preprocessor(staged))
     return found.select(
@@ -684,7 +685,7 @@ def risk_factors(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def risk_explanations(spark: SparkSession, folder: str) -> DataFrame:
-    staged = stage(mart(spark, folder))
+    staged = stage(mart(spark, folder).select(*ft.MATRIX_SOURCES))
     profiles = scoring.order_profiles(staged)
     found = scoring.risk_factors(profiles, ft.fit_preprocessor(staged))
     return scoring.describe_factors(found)

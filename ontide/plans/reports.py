@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ontide.contract import CORRELATION_COLUMNS
 from ontide.operators import profile as prof
 from ontide.operators import rates
 from ontide.operators.correlation import correlation_matrix, correlation_with_target
@@ -15,7 +16,7 @@ from ontide.operators.mart import order_mart
 from ontide.operators.quantiles import quantile_bins
 from ontide.plans import kpis
 from ontide.session import stage
-from ontide.sources.sinks import load_check, save_report, save_stage, save_text
+from ontide.sources.sinks import save_report, save_stage, save_text
 
 FINDING_DIMENSIONS = {
     "customer_state": "worst_customer_state",
@@ -26,7 +27,9 @@ FINDING_DIMENSIONS = {
 
 def key_findings(mart: DataFrame) -> DataFrame:
     """Totals, the worst value of each ranking and the strongest correlation, as one row."""
-    data = stage(mart)
+    measures = ["order_id", "delivery_delay_days", "delivery_days_actual"]
+    needed = dict.fromkeys([*measures, *FINDING_DIMENSIONS, *CORRELATION_COLUMNS])
+    data = stage(mart.select(*needed))
     totals = data.agg(
         F.count(F.lit(1)).alias("delivered_orders"),
         F.sum("is_late").alias("late_orders"),
@@ -142,13 +145,3 @@ def run_reports(
     save_text(findings_text(key_findings(mart)), f"{output}/reports/key_findings")
     return mart, matrix, fitted
 
-
-__all__ = [
-    "MART_REPORTS",
-    "MATRIX_REPORTS",
-    "build_order_mart",
-    "findings_text",
-    "key_findings",
-    "load_check",
-    "run_reports",
-]

@@ -28,15 +28,20 @@ def typed_column(column: str, data_type: str) -> Column:
     return nan_to_null(raw.try_cast(data_type)).alias(column)
 
 
+# A task handles this many rows with ease, whichever key they have.
+SPREAD_MAX_ROWS = 20_000_000
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Distribute a scan that has fewer tasks than the cluster has cores.
+    """Distribute a small table whose scan has fewer tasks than the cluster has cores.
 
-    A parquet file with one row group or a multi-line CSV file is read by one task. Such
-    a table is small enough to be cut by its key, which later joins and aggregates on
-    that key reuse. A scan with enough tasks stays as it is.
+    A parquet file with one row group or a multi-line CSV file is read by one task. Cut
+    by its key it keeps all cores busy, and joins and aggregates on the key reuse the
+    cut. The row limit bounds the task of a key that holds most of the rows; a larger
+    table stays as it is scanned.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if df.rdd.getNumPartitions() >= cores or df.count() > SPREAD_MAX_ROWS:
         return df
     return df.repartition(cores, *keys)
 

@@ -1045,6 +1045,23 @@ add(
           abs({part_rate(_TRAIN)} - {part_rate(_TEST)}) < 0.005 AS balanced FROM delivered""",
     ORDERS,
 )
+# The split is exact per class, so its sizes follow from the class sizes.
+add(
+    "stratified_split_balance",
+    f"""{DELIVERED}, classes AS (
+      SELECT CAST(sum(is_late) AS BIGINT) AS n1, count(*) - CAST(sum(is_late) AS BIGINT) AS n0
+      FROM delivered),
+    parts AS (
+      SELECT n0, n1, CAST(round(n0 * 0.2) AS BIGINT) AS t0, CAST(round(n1 * 0.2) AS BIGINT) AS t1
+      FROM classes),
+    sized AS (
+      SELECT n0 + n1 - t0 - t1 AS train_rows, t0 + t1 AS test_rows,
+             (n1 - t1) / CAST(n0 + n1 - t0 - t1 AS DOUBLE) AS a, t1 / CAST(t0 + t1 AS DOUBLE) AS b
+      FROM parts)""",
+    f"""SELECT train_rows, test_rows, {r('a')} AS train_late_rate, {r('b')} AS test_late_rate,
+          {r('abs(a - b)')} AS rate_difference, abs(a - b) < 0.005 AS balanced FROM sized""",
+    ORDERS,
+)
 add(
     "late_class_weight",
     DELIVERED,
@@ -1185,14 +1202,32 @@ add(
     f"""SELECT order_id, rtrim({_met}, ',') AS risk_factors,
           CAST({_met_count} AS INTEGER) AS risk_factor_count FROM mart""",
 )
+
+
+def decimal_text(expression: str, digits: int) -> str:
+    """Digits after the point, half away from zero on the decimal value."""
+    exact = f"CAST(CAST(({expression}) AS DOUBLE) AS VARCHAR)"
+    return f"CAST(CAST(round(CAST({exact} AS DECIMAL(28, 12)), {digits}) AS DECIMAL(28, {digits})) AS VARCHAR)"
+
+
 _TEXTS = [
-    "format('promised window of {:.1f} days', delivery_days_estimated)",
+    f"'promised window of ' || {decimal_text('delivery_days_estimated', 1)} || ' days'",
     "'ships from ' || main_seller_state || ' to ' || customer_state",
-    "format('freight is {:.2f} of the price', total_freight / (total_price + 1))",
+    f"'freight is ' || {decimal_text('total_freight / (total_price + 1)', 2)} || ' of the price'",
     "'ordered on a ' || purchase_day_of_week",
-    "format('mean product weight of {:.1f} kg', avg_product_weight_g / 1000)",
-    "format('{:d} installments', max_payment_installments)",
+    f"'mean product weight of ' || {decimal_text('avg_product_weight_g / 1000', 1)} || ' kg'",
+    "CAST(max_payment_installments AS VARCHAR) || ' installments'",
 ]
+add(
+    "risk_explanations",
+    MART,
+    union(
+        [
+            f"SELECT order_id, '{name}' AS factor, {text} AS explanation FROM mart WHERE {rule}"
+            for (rule, name), text in zip(_RULES, _TEXTS)
+        ]
+    ),
+)
 add(
     "verdicts",
     SCORED,
