@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 from ontide.contract import (
     APPROVAL_HOURS_MAX,
     CATEGORICAL_COLUMNS,
-    DERIVED_FEATURES,
     EDA_ONLY_COLUMNS,
     FINAL_FEATURE_COLUMNS,
     FREIGHT_RATIO_MAX,
@@ -37,15 +36,22 @@ from ontide.sources.cleaning import coerce_timestamps
 
 MAX_LABELS = 100_000
 
-# Mart columns the feature matrix is made of.
-MATRIX_SOURCES = [
-    "order_id",
-    "order_purchase_timestamp",
-    "order_approved_at",
-    *[c for c in FINAL_FEATURE_COLUMNS if c not in DERIVED_FEATURES and not c.endswith("_encoded")],
-    *CATEGORICAL_COLUMNS,
-    TARGET_COLUMN,
-]
+# Mart columns each derived feature needs.
+DERIVED_INPUTS = {
+    "is_weekend": ["purchase_day_of_week"],
+    "cross_state": ["customer_state", "main_seller_state"],
+    "price_per_item": ["total_price", "item_count"],
+    "freight_ratio": ["total_freight", "total_price"],
+    "approval_time_hours": ["order_purchase_timestamp", "order_approved_at"],
+}
+
+
+def matrix_sources(features: Sequence[str] = FINAL_FEATURE_COLUMNS) -> list[str]:
+    """Mart columns that the given features, the key and the target are made of."""
+    needed = ["order_id"]
+    for name in features:
+        needed += DERIVED_INPUTS.get(name, [name.removesuffix("_encoded")])
+    return list(dict.fromkeys([*needed, TARGET_COLUMN]))
 
 
 def freight_ratio(freight: Column, price: Column) -> Column:
@@ -255,21 +261,28 @@ def apply_labels(df: DataFrame, labels: dict[str, list[str]]) -> DataFrame:
     )
 
 
-def fit_preprocessor(mart: DataFrame) -> Preprocessor:
-    """Learn fill values and labels from (training) mart rows."""
+def fit_preprocessor(
+    mart: DataFrame, features: Sequence[str] = FINAL_FEATURE_COLUMNS, stable: bool = False
+) -> Preprocessor:
+    """Learn fill values and labels from (training) mart rows, for the features asked for.
+
+    `stable=True` promises that `mart` is a stored or staged table.
+    """
     derived = build_derived_features(mart)
     numeric = [
         c
         for c in FINAL_FEATURE_COLUMNS
-        if c in derived.columns and is_numeric(derived.schema[c].dataType)
+        if c in features and c in derived.columns and is_numeric(derived.schema[c].dataType)
     ]
-    text = [c for c in CATEGORICAL_COLUMNS if c in derived.columns]
-    data = stage(derived.select(*numeric, *text))
+    text = [c for c in CATEGORICAL_COLUMNS if f"{c}_encoded" in features and c in derived.columns]
+    data = derived.select(*numeric, *text)
+    if not stable:
+        data = stage(data)
     numeric_fill, text_fill = fit_fill_values(data, numeric, text, stable=True)
     labels = fit_labels(apply_fill_values(data, {}, text_fill), text)
     encoded = {f"{c}_encoded" for c in text}
-    features = [c for c in FINAL_FEATURE_COLUMNS if c in numeric or c in encoded]
-    return Preprocessor(numeric_fill, text_fill, labels, features)
+    ordered = [c for c in FINAL_FEATURE_COLUMNS if c in numeric or c in encoded]
+    return Preprocessor(numeric_fill, text_fill, labels, ordered)
 
 
 def feature_matrix(

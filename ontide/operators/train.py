@@ -248,7 +248,7 @@ def train_risk_model(
     marked = stage(stratified_split(mart, seed=seed))
     train_mart = marked.filter(F.col("split") == "train").drop("split")
     test_mart = marked.filter(F.col("split") == "test").drop("split")
-    fitted = fit_preprocessor(train_mart)
+    fitted = fit_preprocessor(train_mart, stable=True)
     features = fitted.features
     train = stage(feature_matrix(train_mart, fitted))
     test = stage(feature_matrix(test_mart, fitted))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +12,7 @@ from ontide.contract import (
     CATEGORICAL_COLUMNS,
     DEFAULT_THRESHOLD,
     DERIVED_FEATURES,
+    FINAL_FEATURE_COLUMNS,
     ON_TIME_SHORT_LABEL,
 )
 from ontide.functions.columns import rounded
@@ -62,10 +63,15 @@ def derived(spark: SparkSession, folder: str) -> DataFrame:
     return ft.build_derived_features(mart(spark, folder))
 
 
-def matrix(spark: SparkSession, folder: str) -> DataFrame:
-    """Feature matrix with fill values and labels learned from the whole mart."""
-    staged = stage(mart(spark, folder).select(*ft.MATRIX_SOURCES))
-    return ft.feature_matrix(staged, ft.fit_preprocessor(staged))
+def matrix(
+    spark: SparkSession, folder: str, features: Sequence[str] = FINAL_FEATURE_COLUMNS
+) -> DataFrame:
+    """Feature matrix with fill values and labels learned from the whole mart.
+
+    A query that reads a few features names them, and only those are computed.
+    """
+    staged = stage(mart(spark, folder).select(*ft.matrix_sources(features)))
+    return ft.feature_matrix(staged, ft.fit_preprocessor(staged, features, stable=True))
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
@@ -203,7 +209,7 @@ def feature_report(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def matrix_validation(spark: SparkSession, folder: str) -> DataFrame:
     features = matrix(spark, folder)
-    return rounded(prof.matrix_validation(features, ft.FINAL_FEATURE_COLUMNS))
+    return rounded(prof.matrix_validation(features, FINAL_FEATURE_COLUMNS))
 
 
 @query
@@ -404,7 +410,8 @@ def correlations_with_target(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def overall_kpis(spark: SparkSession, folder: str) -> DataFrame:
-    return kpis.overall_kpis(matrix(spark, folder))
+    features = ["delivery_days_estimated", "total_price", "total_freight", "cross_state"]
+    return kpis.overall_kpis(matrix(spark, folder, features))
 
 
 @query
@@ -414,12 +421,14 @@ def state_late_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def route_segments(spark: SparkSession, folder: str) -> DataFrame:
-    return kpis.route_segments(matrix(spark, folder))
+    features = ["delivery_days_estimated", "total_freight", "seller_count", "cross_state"]
+    return kpis.route_segments(matrix(spark, folder, features))
 
 
 @query
 def monthly_late_rate(spark: SparkSession, folder: str) -> DataFrame:
-    return kpis.monthly_late_rate(matrix(spark, folder))
+    features = ["purchase_month_num", "total_freight"]
+    return kpis.monthly_late_rate(matrix(spark, folder, features))
 
 
 @query
@@ -434,7 +443,8 @@ def seller_state_ranking(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def monthly_rolling_average(spark: SparkSession, folder: str) -> DataFrame:
-    return kpis.monthly_rolling_average(matrix(spark, folder))
+    features = ["purchase_month_num", "total_freight"]
+    return kpis.monthly_rolling_average(matrix(spark, folder, features))
 
 
 @query
@@ -444,7 +454,8 @@ def monthly_trend(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def cross_state_comparison(spark: SparkSession, folder: str) -> DataFrame:
-    return kpis.cross_state_comparison(matrix(spark, folder))
+    features = ["delivery_days_estimated", "total_freight", "cross_state"]
+    return kpis.cross_state_comparison(matrix(spark, folder, features))
 
 
 @query
@@ -665,17 +676,19 @@ def threshold_comparison(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def score_inputs(spark: SparkSession, folder: str) -> DataFrame:
-    staged = stage(mart(spark, folder).select(*ft.MATRIX_SOURCES))
-    inputs = scoring.scoring_inputs(scoring.order_profiles(staged), ft.fit_preprocessor(staged))
-    numeric = [c for c in ft.FINAL_FEATURE_COLUMNS if not c.endswith("_encoded")]
+    staged = stage(mart(spark, folder).select(*ft.matrix_sources()))
+    fitted = ft.fit_preprocessor(staged, stable=True)
+    inputs = scoring.scoring_inputs(scoring.order_profiles(staged), fitted)
+    numeric = [c for c in FINAL_FEATURE_COLUMNS if not c.endswith("_encoded")]
     return rounded(inputs.select("order_id", *numeric))
 
 
 @query
 def risk_factors(spark: SparkSession, folder: str) -> DataFrame:
-    staged = stage(mart(spark, folder).select(*ft.MATRIX_SOURCES))
+    staged = stage(mart(spark, folder).select(*ft.matrix_sources()))
     profiles = scoring.order_profiles(staged)
-    found = scoring.risk_factors(profiles, ft.fit_preprocessor(staged))
+    fitted = ft.fit_preprocessor(staged, ["avg_product_weight_g"], stable=True)
+    found = scoring.risk_factors(profiles, fitted)
     return found.select(
         "order_id",
         F.array_join("risk_factors", ",").alias("risk_factors"),
@@ -685,9 +698,10 @@ def risk_factors(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def risk_explanations(spark: SparkSession, folder: str) -> DataFrame:
-    staged = stage(mart(spark, folder).select(*ft.MATRIX_SOURCES))
+    staged = stage(mart(spark, folder).select(*ft.matrix_sources()))
     profiles = scoring.order_profiles(staged)
-    found = scoring.risk_factors(profiles, ft.fit_preprocessor(staged))
+    fitted = ft.fit_preprocessor(staged, ["avg_product_weight_g"], stable=True)
+    found = scoring.risk_factors(profiles, fitted)
     return scoring.describe_factors(found)
 
 

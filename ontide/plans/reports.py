@@ -133,7 +133,7 @@ def run_reports(
         save_report(prof.table_overview(tables), f"{output}/reports/table_overview")
         save_report(prof.missing_values(tables), f"{output}/reports/missing_values")
     mart = build_order_mart(tables, f"{output}/order_mart")
-    fitted = fit_preprocessor(mart)
+    fitted = fit_preprocessor(mart, stable=True)
     matrix = save_stage(feature_matrix(mart, fitted), f"{output}/feature_matrix")
     for name, report in MART_REPORTS.items():
         save_report(report(mart), f"{output}/reports/{name}")
