@@ -172,11 +172,15 @@ def item_measures(enriched: DataFrame) -> DataFrame:
 
 
 def item_variety(items: DataFrame) -> DataFrame:
-    """Distinct products and sellers per order."""
-    return items.groupBy("order_id").agg(
-        F.count_distinct("product_id").alias("product_count"),
-        F.count_distinct("seller_id").alias("seller_count"),
-    )
+    """Distinct products and sellers per order.
+
+    Two distinct counts in one aggregate expand the rows, which loses a partitioning by
+    order_id; counted apart, bucketed items need no shuffle. Otherwise the first shuffle
+    goes by (order, product) or (order, seller), which spreads a very large order.
+    """
+    products = items.groupBy("order_id").agg(F.count_distinct("product_id").alias("product_count"))
+    sellers = items.groupBy("order_id").agg(F.count_distinct("seller_id").alias("seller_count"))
+    return products.join(sellers, "order_id", "left")
 
 
 def item_features(
@@ -184,10 +188,9 @@ def item_features(
 ) -> DataFrame:
     """Item aggregates per order.
 
-    Two exact distinct counts expand every row, so they run over the three key columns
-    instead of the enriched items (three times faster on the test tables), and an order
-    with very many items is spread by its (order, product) and (order, seller) pairs.
-    Both sides end partitioned by order_id, so joining them moves nothing.
+    The distinct counts run over the key columns instead of the enriched items, which
+    was three times faster on the test tables. Both sides end partitioned by order_id, so
+    joining them moves nothing.
     """
     return _per_order(items, enrich_items(items, products, translation, sellers))
 

@@ -118,6 +118,19 @@ def test_bucketed_tables_join_without_a_shuffle(spark, tables):
         spark.conf.unset(setting)
 
 
+def test_bucketed_items_aggregate_without_a_shuffle(spark, tables):
+    from ontide.operators.mart import item_features
+
+    stored = sinks.store_bucketed({"order_items": tables["order_items"]}, "bucketed", 4)
+    features = item_features(
+        stored["order_items"], tables["products"], tables["category_translation"], tables["sellers"]
+    )
+    plan = features._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(order_id" in line]
+    assert moved == []
+    assert features.count() == tables["order_items"].select("order_id").distinct().count()
+
+
 def test_partitioned_mart_prunes_by_period(spark, tables, tmp_path):
     from ontide.plans.reports import build_order_mart
 
