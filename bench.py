@@ -18,7 +18,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "order_mart",
     "item_features",
-    "item_enriched",
     "state_late_rates",
     "worst_route_pairs",
     "monthly_rolling_average",
@@ -29,9 +28,7 @@ HEADLINE = [
     "missing_values",
     "table_overview",
     "feature_matrix",
-    "feature_report",
     "roc_auc",
-    "threshold_analysis",
     "risk_factors",
     "stream_late_windows",
 ]
