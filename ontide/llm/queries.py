@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ontide.llm import bpe, decontaminate, pii, piece_counts, quality_rules, warc
+from ontide.llm import bpe, decontaminate, license_scan, pii, piece_counts, quality_rules
+from ontide.llm import suffix_tree_lm, warc
 from ontide.llm.common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -42,11 +43,19 @@ def op6_pii(spark, sf_dir):
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark, sf_dir):
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark, sf_dir):
     spec = bpe.read_spec(tokenizer_path(WORD_BPE))
     return bpe.token_digests(table(spark, sf_dir, "documents"), spec)
 
 
+def op10_suffix_tree(spark, sf_dir):
+    return suffix_tree_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -55,7 +64,9 @@ QUERIES = {
         op4_token_counts,
         op5_warc,
         op6_pii,
+        op7_license_scan,
         op8_bpe,
+        op10_suffix_tree,
     )
 }
 
