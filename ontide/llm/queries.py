@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ontide.llm import bpe, decontaminate, license_scan, pii, piece_counts, quality_rules
-from ontide.llm import suffix_tree_lm, warc
+from ontide.llm import bpe, decontaminate, license_scan, pii, piece_counts
+from ontide.llm import prefix_tree_join, quality_rules, suffix_tree_lm, warc
 from ontide.llm.common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -52,6 +52,10 @@ def op8_bpe(spark, sf_dir):
     return bpe.token_digests(table(spark, sf_dir, "documents"), spec)
 
 
+def op9_jaccard_join(spark, sf_dir):
+    return prefix_tree_join.link_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_tree(spark, sf_dir):
     return suffix_tree_lm.score_documents(table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ QUERIES = {
         op6_pii,
         op7_license_scan,
         op8_bpe,
+        op9_jaccard_join,
         op10_suffix_tree,
     )
 }
