@@ -240,9 +240,14 @@ def decode_documents(encoded: DataFrame, spec: str) -> DataFrame:
 
 
 def token_digests(
-    docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    spec: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    with_ids: bool = False,
 ) -> DataFrame:
-    """Per document: n_tokens, ids_sha256, decoded_sha256, by encoding and decoding in one pass."""
+    """Per document: n_tokens, ids_sha256, decoded_sha256, and (`with_ids`) the ids, by encoding and
+    decoding in one pass."""
 
     def process():
         encoder = ChunkEncoder(spec)
@@ -251,14 +256,16 @@ def token_digests(
             for doc_id, data in zip(batch.column(0).to_pylist(), raw(batch.column(1))):
                 ids = encoder.encode(data or b"")
                 packed = np.array(ids, "<u4").tobytes()
-                yield (
+                row = (
                     doc_id,
                     len(ids),
                     hashlib.sha256(packed).hexdigest(),
                     hashlib.sha256(encoder.decode(ids).encode()).hexdigest(),
                 )
+                yield (*row, ids) if with_ids else row
 
         return rows
 
     fields = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    fields += ", ids array<int>" if with_ids else ""
     return map_rows(docs.select(docs[id_col].cast("bigint"), docs[text_col]), process, fields)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -57,21 +57,30 @@ def map_rows(
     df: DataFrame,
     process: Callable[[], Callable[[pa.RecordBatch], Iterable[tuple]]],
     fields: str,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Apply a row function to every partition in small Arrow slices.
 
     `process` is called once per task and returns the function that turns a slice into
-    rows; what it builds (a matcher, a cache) serves the whole task.
+    rows; what it builds (a matcher, a cache) serves the whole task. `carry` names the last columns of
+    `df`, which follow each row unchanged; the function then gives one row for each input row.
     """
-    kinds = parts(fields)
+    kinds, carried = parts(fields), list(carry)
+    schema = ", ".join([fields, *(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carried)])
+    first = len(df.columns) - len(carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = process()
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
-                yield batch_of(list(function(batch.slice(start, SLICE_ROWS))), kinds)
-
-    return df.mapInArrow(run, fields)
+                piece = batch.slice(start, SLICE_ROWS)
+                made = batch_of(list(function(piece)), kinds)
+                if carried:
+                    arrays = [*made.columns, *piece.columns[first:]]
+                    made = pa.RecordBatch.from_arrays(arrays, [*made.schema.names, *carried])
+                yield made
+
+    return df.mapInArrow(run, schema)
 
 
 def input_parts(df: DataFrame) -> int:

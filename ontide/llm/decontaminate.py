@@ -18,6 +18,7 @@ no rows or no hits. A null item id isn't listed. Other columns are ignored.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -137,8 +138,10 @@ def find_leaks(
     item_text_col: str = "text",
     block_windows: int = 200_000,
     keep_text: bool = False,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Per document: n_words, spans (start and end of hit runs of words, flat), items.
+    """Per document: n_words, spans (start and end of hit runs of words, flat), items, (`keep_text`) the
+    text, and the columns that `carry` names.
 
     With one block the documents are read once and nothing is shuffled. With more, every block
     adds its findings to the rows in a further pass over them, stored before the next.
@@ -149,6 +152,7 @@ def find_leaks(
         docs[text_col].alias("text"),
         F.lit(None).cast("array<bigint>").alias("spans"),
         F.lit(None).cast("array<bigint>").alias("items"),
+        *(docs[c] for c in carry),
     )
     blocks = window_blocks(benchmark, block_windows, item_id_col, item_text_col)
     windows = next(blocks, {})
@@ -170,7 +174,7 @@ def find_leaks(
 
             return rows
 
-        start = map_rows(start.select("doc_id", "text", "spans", "items"), process, fields)
+        start = map_rows(start.select("doc_id", "text", "spans", "items", *carry), process, fields, carry)
         if following is not None:
             start = stage(start)
         windows = following

@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
@@ -232,9 +233,14 @@ def masked(text: str, spans) -> str:
 
 
 def find_personal_data(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_masked: bool = False
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    with_masked: bool = False,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Per document: base counts per kind, base digest, all spans, and (`with_masked`) the masked text."""
+    """Per document: base counts per kind, base digest, all spans, (`with_masked`) the masked text, and
+    the columns that `carry` names."""
     fields = (
         "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, "
         "base_sha256 string, spans string" + (", masked string" if with_masked else "")
@@ -251,4 +257,5 @@ def find_personal_data(
 
         return rows
 
-    return map_rows(docs.select(docs[id_col].cast("bigint"), docs[text_col]), process, fields)
+    source = docs.select(docs[id_col].cast("bigint"), docs[text_col], *(docs[c] for c in carry))
+    return map_rows(source, process, fields, carry)

@@ -430,3 +430,20 @@ def link_documents(
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
     )
+
+
+def one_per_component(
+    docs: DataFrame, params: JoinParams = JoinParams(), id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of `docs` whose id is their component's smallest, all columns.
+
+    Rows that repeat an id are one document, of which the smallest row stays. Rows with a
+    null id link with nothing and all stay.
+    """
+    links = link_documents(docs, params, id_col, text_col)
+    heads = links.filter(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias(id_col))
+    kept = docs.join(heads.distinct(), id_col, "left_semi")
+    rest = [c for c in docs.columns if c != id_col]
+    order = F.struct(*(F.col(c) for c in rest))
+    single = kept.groupBy(id_col).agg(F.min(order).alias("row")).select(id_col, "row.*")
+    return single.select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -140,8 +140,10 @@ def clean_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     with_text: bool = True,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per document: its counts, the verdict, and (`with_text`) the text without failed lines."""
+    """One row per document: its counts, the verdict, (`with_text`) the text without failed lines, and
+    the columns that `carry` names."""
     fields = f"doc_id bigint, {FIELDS}" + (", cleaned_text string" if with_text else "")
 
     def process():
@@ -183,4 +185,5 @@ def clean_documents(
 
         return rows
 
-    return map_rows(docs.select(docs[id_col].cast("bigint"), docs[text_col]), process, fields)
+    source = docs.select(docs[id_col].cast("bigint"), docs[text_col], *(docs[c] for c in carry))
+    return map_rows(source, process, fields, carry)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ontide.llm import bpe, decontaminate, license_scan, pii, piece_counts
-from ontide.llm import prefix_tree_join, quality_rules, suffix_tree_lm, warc
+from ontide.llm import prefix_tree_join, quality_rules, suffix_repeats, suffix_tree_lm, warc
 from ontide.llm.common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -24,6 +24,10 @@ def op1_quality_rules(spark, sf_dir):
     )
 
 
+def op2_suffix_repeats(spark, sf_dir):
+    return suffix_repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.leak_report(decontaminate.find_leaks(docs, items))
@@ -64,6 +68,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules,
+        op2_suffix_repeats,
         op3_decontaminate,
         op4_token_counts,
         op5_warc,
