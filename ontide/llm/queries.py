@@ -5,6 +5,9 @@ from __future__ import annotations
 from ontide.llm import bpe, decontaminate, license_scan, pii, piece_counts
 from ontide.llm import prefix_tree_join, quality_rules, suffix_repeats, suffix_tree_lm, warc
 from ontide.llm.common import table
+from ontide.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -48,7 +51,8 @@ def op6_pii(spark, sf_dir):
 
 
 def op7_license_scan(spark, sf_dir):
-    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    rows = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "license", "containment")
 
 
 def op8_bpe(spark, sf_dir):
@@ -80,4 +84,3 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
