@@ -22,9 +22,17 @@ from ontide.contract import (
     WEEKEND_DAYS,
 )
 from ontide.functions.columns import clip, flag
-from ontide.operators.features import Preprocessor, freight_ratio, price_per_item
+from ontide.operators.features import (
+    Preprocessor,
+    build_derived_features,
+    freight_ratio,
+    price_per_item,
+)
 from ontide.operators.train import RiskModel
 
+# Counts that a bare profile has no attribute for.
+SINGLE_COUNTS = ["product_count", "seller_count", "payment_count"]
+
 PROFILE_COLUMNS = [
     "delivery_days_estimated",
     "total_price",
@@ -42,18 +50,41 @@ PROFILE_COLUMNS = [
 ]
 
 
+# What a stored order knows beside its profile.
+KNOWN_COLUMNS = [
+    "product_count",
+    "seller_count",
+    "payment_count",
+    "avg_product_length_cm",
+    "avg_product_height_cm",
+    "avg_product_width_cm",
+    "avg_product_volume_cm3",
+    "total_payment_value",
+    "approval_time_hours",
+]
+
+
 def order_profiles(mart: DataFrame) -> DataFrame:
-    """The attributes of an order that are known when it is placed."""
+    """The thirteen attributes that describe an incoming order."""
     return mart.withColumnRenamed("max_payment_installments", "installments").select(
         "order_id", *PROFILE_COLUMNS
     )
 
 
+def known_orders(mart: DataFrame) -> DataFrame:
+    """Stored orders with all that is known of them: the profile and the model's other sources."""
+    derived = build_derived_features(mart)
+    return derived.withColumnRenamed("max_payment_installments", "installments").select(
+        "order_id", *PROFILE_COLUMNS, *KNOWN_COLUMNS
+    )
+
+
 def scoring_inputs(profiles: DataFrame, fitted: Preprocessor) -> DataFrame:
     """Model inputs for order profiles.
 
-    A column the profile lacks takes its learned fill value, else its default, else 0; so
-    does a null. Categories keep their text for the pipeline's encoder.
+    A bare profile counts as one product, one seller and one payment. Any other column the
+    profile lacks takes its learned fill value, else its default, else 0. A null in a column that it has takes
+    the learned fill value, as in training. Categories keep their text for the pipeline's encoder.
     """
     price, freight = F.col("total_price"), F.col("total_freight")
     built = {
@@ -63,6 +94,7 @@ def scoring_inputs(profiles: DataFrame, fitted: Preprocessor) -> DataFrame:
         "freight_ratio": clip(freight_ratio(freight, price), upper=FREIGHT_RATIO_MAX),
         "price_per_item": price_per_item(price, F.col("item_count")),
         "total_payment_value": price + freight,
+        **{name: F.lit(SCORING_DEFAULTS[name]) for name in SINGLE_COUNTS},
     }
     # What the caller knows beats what can be derived from the profile.
     derived = profiles.withColumns(
@@ -76,8 +108,12 @@ def scoring_inputs(profiles: DataFrame, fitted: Preprocessor) -> DataFrame:
         value = F.col(name).cast("double") if name in derived.columns else F.lit(None)
         complete[name] = F.coalesce(value, default)
     for name in CATEGORICAL_COLUMNS:
-        if name in fitted.labels and name not in derived.columns:
+        if name not in fitted.labels:
+            continue
+        if name not in derived.columns:
             complete[name] = F.lit(None).cast("string")
+        elif name in fitted.text_fill:
+            complete[name] = F.coalesce(F.col(name).cast("string"), F.lit(fitted.text_fill[name]))
     return derived.withColumns(complete)
 
 

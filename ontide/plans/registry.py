@@ -29,7 +29,7 @@ from ontide.session import shared_dir, stage
 from ontide.sources.adapter import PORTABLE_SCORE, PORTABLE_TEST_ROWS, delivery_tables
 from ontide.sources.cleaning import clean_column_names, coerce_timestamps, nan_strings_to_null
 from ontide.sources.readers import table_row_counts
-from ontide.sources.sinks import load_check, save_stage
+from ontide.sources.sinks import load_check, load_warehouse_table, save_stage
 from ontide.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,8 +93,11 @@ def table_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def warehouse_load_check(spark: SparkSession, folder: str) -> DataFrame:
     source = mt.with_durations(mt.delivered_orders(delivery_tables(spark, folder)["orders"]))
-    stored = save_stage(source, f"{shared_dir(spark)}/load-check-{uuid4().hex}")
-    return load_check(source, stored)
+    table = f"load_check_{uuid4().hex}"
+    try:
+        return stage(load_check(source, load_warehouse_table(source, table)))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
 @query
@@ -683,6 +686,15 @@ def score_inputs(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(inputs.select("order_id", *numeric))
 
 
+@query
+def score_inputs_known(spark: SparkSession, folder: str) -> DataFrame:
+    staged = stage(mart(spark, folder))
+    fitted = ft.fit_preprocessor(staged, stable=True)
+    inputs = scoring.scoring_inputs(scoring.known_orders(staged), fitted)
+    numeric = [c for c in FINAL_FEATURE_COLUMNS if not c.endswith("_encoded")]
+    return rounded(inputs.select("order_id", *numeric))
+
+
 @query
 def risk_factors(spark: SparkSession, folder: str) -> DataFrame:
     staged = stage(mart(spark, folder).select(*ft.matrix_sources()))
@@ -740,7 +752,7 @@ def order_summary(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def scored_orders(spark: SparkSession, folder: str) -> DataFrame:
     model = training_run(spark, folder).model
-    result = scoring.score_orders(scoring.order_profiles(mart(spark, folder)), model)
+    result = scoring.score_orders(scoring.known_orders(mart(spark, folder)), model)
     return result.select("order_id", "score", "verdict", "action", "risk_band", "risk_factor_count")
 
 
@@ -752,7 +764,7 @@ def stream_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Orders scored by a stream over stored profiles."""
     model = training_run(spark, folder).model
     base = f"{shared_dir(spark)}/stream-scores-{uuid4().hex}"
-    profiles = save_stage(scoring.order_profiles(mart(spark, folder)), f"{base}/profiles")
+    profiles = save_stage(scoring.known_orders(mart(spark, folder)), f"{base}/profiles")
     arriving = jobs.read_order_stream(spark, f"{base}/profiles", profiles.schema)
     flat = jobs.score_stream(arriving, model).select(
         "order_id", "score", "verdict", "action", "risk_band", "risk_factor_count"
@@ -763,9 +775,10 @@ def stream_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def stream_late_windows(spark: SparkSession, folder: str) -> DataFrame:
-    """Late counts per closed 30-day window, from a stream over the orders."""
+    """Late counts per 30-day window, from a stream over the stored orders in several batches."""
     base = f"{shared_dir(spark)}/stream-windows-{uuid4().hex}"
     orders = save_stage(delivery_tables(spark, folder)["orders"], f"{base}/orders")
-    windows = jobs.late_windows(jobs.read_order_stream(spark, f"{base}/orders", orders.schema))
-    jobs.write_stream(windows, f"{base}/windows", f"{base}/progress").awaitTermination()
+    arriving = jobs.read_order_stream(spark, f"{base}/orders", orders.schema)
+    windows = jobs.late_windows(arriving)
+    jobs.write_totals(windows, f"{base}/windows", f"{base}/progress").awaitTermination()
     return rounded(spark.read.schema(windows.schema).parquet(f"{base}/windows"))

@@ -1162,9 +1162,9 @@ add(
 _PROFILE_FILLS = [c for c in NUMERIC_FEATURES if c not in ("is_weekend", "cross_state")]
 _PROFILE_VALUES = {
     "total_payment_value": "d.total_price + d.total_freight",
-    "product_count": "CAST(NULL AS DOUBLE)",
-    "seller_count": "CAST(NULL AS DOUBLE)",
-    "payment_count": "CAST(NULL AS DOUBLE)",
+    "product_count": "CAST(1 AS DOUBLE)",
+    "seller_count": "CAST(1 AS DOUBLE)",
+    "payment_count": "CAST(1 AS DOUBLE)",
     "avg_product_length_cm": "CAST(NULL AS DOUBLE)",
     "avg_product_height_cm": "CAST(NULL AS DOUBLE)",
     "avg_product_width_cm": "CAST(NULL AS DOUBLE)",
@@ -1173,8 +1173,8 @@ _PROFILE_VALUES = {
 }
 
 
-def profile_value(column: str) -> str:
-    value = _PROFILE_VALUES.get(column, f"d.{column}")
+def profile_value(column: str, bare: bool = True) -> str:
+    value = _PROFILE_VALUES.get(column, f"d.{column}") if bare else f"d.{column}"
     if column not in _GAP_FEATURES:
         return f"{r(value)} AS {column}"
     return f"{r(f'coalesce(CAST({value} AS DOUBLE), f.{column})')} AS {column}"
@@ -1186,6 +1186,12 @@ add(
     f"""SELECT order_id, {', '.join(profile_value(c) for c in NUMERIC_FEATURES)}
         FROM derived d CROSS JOIN fills f""",
 )
+add(
+    "score_inputs_known",
+    f"{DERIVED}, {_fills(_GAP_FEATURES)}",
+    f"""SELECT order_id, {', '.join(profile_value(c, bare=False) for c in NUMERIC_FEATURES)}
+        FROM derived d CROSS JOIN fills f""",
+)
 _RULES = [
     ("delivery_days_estimated > 18", "long_promised_window"),
     ("customer_state <> main_seller_state", "cross_state_shipment"),
@@ -1287,7 +1293,7 @@ add(
     ),
 )
 
-# --- Streaming. A window is closed once the watermark, 30 days behind, has passed its end.
+# --- Streaming. Every order counts, whatever batch it came in.
 
 _WINDOW = "to_days(30) * CAST(floor(epoch_us(order_purchase_timestamp) / 2592000000000.0) AS INTEGER)"
 add(
@@ -1297,7 +1303,6 @@ add(
              TIMESTAMP '1970-01-01' + {_WINDOW} + to_days(30) AS window_end, is_late FROM delivered)""",
     f"""SELECT window_start, window_end, count(*) AS orders, {_LATE_SUM} AS late_orders,
           {r('avg(is_late) * 100')} AS late_rate_pct FROM windows
-        WHERE window_end <= (SELECT max(order_purchase_timestamp) FROM delivered) - to_days(30)
         GROUP BY 1, 2""",
     ORDERS,
 )

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ontide.operators import rates, scoring, train
-from ontide.operators.features import Preprocessor
-from ontide.operators.mart import with_durations
+from ontide.operators.features import Preprocessor, feature_matrix
+from ontide.operators.mart import delivered_orders, with_durations
 from ontide.plans.reports import findings_text, key_findings, run_reports
 from ontide.sources.sinks import load_json, save_json, save_stage
 from ontide.streaming import jobs
@@ -74,25 +74,44 @@ def test_stream_scores_equal_table_scores(spark, run, mart, tmp_path):
     assert found.exceptAll(expected).count() == 0 and found.count() == expected.count()
 
 
-def test_stream_windows_equal_batch_windows(spark, tables, tmp_path):
-    orders = save_stage(tables["orders"].orderBy("order_purchase_timestamp"), str(tmp_path / "in"))
-    windows = jobs.late_windows(
-        jobs.read_order_stream(spark, str(tmp_path / "in"), orders.schema), "60 days", "60 days"
+@pytest.mark.parametrize("files_per_batch", [1, 3, 1000])
+def test_replayed_windows_hold_every_order(spark, tables, tmp_path, files_per_batch):
+    orders = save_stage(tables["orders"].repartition(6, F.rand(1)), str(tmp_path / "in"))
+    arriving = jobs.read_order_stream(
+        spark, str(tmp_path / "in"), orders.schema, files_per_batch=files_per_batch
     )
+    windows = jobs.late_windows(arriving, "60 days")
+    jobs.write_totals(windows, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, jobs.late_windows(orders, "60 days").collect()))
+    kept = with_durations(delivered_orders(orders)).count()
+    assert found.agg(F.sum("orders")).first()[0] == kept
+
+
+def test_live_windows_close_in_order_of_time(spark, tables, tmp_path):
+    orders = save_stage(tables["orders"].orderBy("order_purchase_timestamp"), str(tmp_path / "in"))
+    arriving = jobs.read_order_stream(spark, str(tmp_path / "in"), orders.schema)
+    windows = jobs.late_windows(arriving, "60 days", "60 days")
     jobs.write_stream(windows, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
-    found = {r.window_start: (r.orders, r.late_orders) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    from ontide.operators.mart import delivered_orders
-
-    batch = (
-        with_durations(delivered_orders(orders))
-        .groupBy(F.window(F.col("order_purchase_timestamp").cast("timestamp"), "60 days"))
-        .agg(F.count("*").alias("orders"), F.sum("is_late").alias("late"))
-        .select(F.col("window.start").cast("timestamp_ntz").alias("at"), "orders", "late")
-        .collect()
-    )
-    expected = {r.at: (r.orders, r.late) for r in batch}
-    assert len(found) > 20
-    assert all(expected[at] == counts for at, counts in found.items())
+    found = spark.read.parquet(str(tmp_path / "out")).select("window_start", "orders", "late_orders")
+    every = jobs.late_windows(orders, "60 days").select("window_start", "orders", "late_orders")
+    assert found.count() > 20 and found.exceptAll(every).isEmpty()
+
+
+def test_known_orders_score_as_the_matrix_does(run, mart):
+    known = scoring.score_orders(scoring.known_orders(mart), run.model).select("order_id", "score")
+    matrix = feature_matrix(mart, run.model.preprocessor)
+    features = run.model.preprocessor.features
+    expected = train.score_matrix(matrix, features, run.model.trees, ["order_id"])
+    pairs = known.join(expected.withColumnRenamed("score", "wanted"), "order_id")
+    assert pairs.count() == mart.count()
+    assert pairs.filter(F.abs(F.col("score") - F.col("wanted")) > 1e-12).isEmpty()
+
+
+def test_bare_profile_counts_one_of_each(spark):
+    fitted = Preprocessor({"product_count": 4.0, "avg_product_width_cm": 7.0}, {}, {}, ["product_count", "avg_product_width_cm"])
+    row = scoring.scoring_inputs(spark.createDataFrame([CALM], PROFILE), fitted).first()
+    assert row["product_count"] == 1.0 and row["avg_product_width_cm"] == 7.0
 
 
 PROFILE = (
