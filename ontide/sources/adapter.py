@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ontide.sources.readers import spread
-
 _PURCHASE_HOUR = "(o_orderkey * 7) % 24"
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
@@ -115,19 +113,10 @@ PORTABLE_SCORE = "CAST((order_id * 7919 + customer_id * 31) % 19 AS DOUBLE) / 18
 PORTABLE_TEST_ROWS = "(order_id * 7919) % 100 < 20"
 
 
-# Large tables and the key most of their joins and aggregates use.
-FACT_KEYS = {"orders": "o_orderkey", "lineitem": "l_orderkey"}
-
-
-def read_star(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    df = spark.read.parquet(f"{folder}/{table}.parquet")
-    return spread(df, FACT_KEYS[table]) if table in FACT_KEYS else df
-
-
 def delivery_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """All mapped tables, lazily. Each source file is opened once."""
     sources = {name for needed, _ in VIEWS.values() for name in needed}
-    opened = {name: read_star(spark, folder, name) for name in sorted(sources)}
+    opened = {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in sorted(sources)}
     return {
         name: spark.sql(text, **{source: opened[source] for source in needed})
         for name, (needed, text) in VIEWS.items()

@@ -19,31 +19,31 @@ def typed_column(column: str, data_type: str) -> Column:
     """Parse a text column; text that does not parse becomes null."""
     raw = F.col(f"`{column}`")
     if data_type == "string":
-        return raw
+        return raw.cast("string").alias(column)
     if data_type == "timestamp_ntz":
         return raw.try_cast("timestamp_ntz").alias(column)
     if data_type == "int":
-        # Nullable integer columns may arrive as "3.0".
-        return raw.try_cast("double").try_cast("int").alias(column)
+        # Nullable integer columns may arrive as "3.0"; "3.7" is no whole number.
+        value = raw.try_cast("double")
+        return F.when(value == F.floor(value), value).try_cast("int").alias(column)
     return nan_to_null(raw.try_cast(data_type)).alias(column)
 
 
-# A task handles this many rows with ease, whichever key they have.
-SPREAD_MAX_ROWS = 20_000_000
+# Columns that feed no operator, so they may be absent.
+OPTIONAL_COLUMNS = {"shipping_limit_date", "review_creation_date", "review_answer_timestamp"}
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Distribute a small table whose scan has fewer tasks than the cluster has cores.
+def typed_table(raw: DataFrame, spec: TableSpec) -> DataFrame:
+    """The table with the types of its schema, whichever format it came from.
 
-    A parquet file with one row group or a multi-line CSV file is read by one task. Cut
-    by its key it keeps all cores busy, and joins and aggregates on the key reuse the
-    cut. The row limit bounds the task of a key that holds most of the rows; a larger
-    table stays as it is scanned.
+    A required column that is absent raises; further columns stay as they are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores or df.count() > SPREAD_MAX_ROWS:
-        return df
-    return df.repartition(cores, *keys)
+    absent = set(spec.types) - set(raw.columns) - OPTIONAL_COLUMNS
+    if absent:
+        raise ValueError(f"table {spec.name!r} lacks columns {sorted(absent)}")
+    return raw.select(
+        *[typed_column(c, spec.types[c]) if c in spec.types else F.col(f"`{c}`") for c in raw.columns]
+    )
 
 
 def load_table(
@@ -56,9 +56,9 @@ def load_table(
     """
     spec = table_spec(name)
     if fmt == "table":
-        return spark.table(path or f"{root}.{name}")
+        return typed_table(spark.table(path or f"{root}.{name}"), spec)
     if fmt == "parquet":
-        return spark.read.parquet(path or f"{root}/{name}.parquet")
+        return typed_table(spark.read.parquet(path or f"{root}/{name}.parquet"), spec)
     if fmt != "csv":
         raise ValueError(f"unknown format {fmt!r}; use csv, parquet or table")
     raw = spark.read.csv(
@@ -69,13 +69,10 @@ def load_table(
         escape='"',
         encoding="UTF-8",
     )
-    absent = [c for c in spec.types if c not in raw.columns]
-    # shipping_limit_date and the review dates feed no operator, so they may be absent.
-    optional = {"shipping_limit_date", "review_creation_date", "review_answer_timestamp"}
-    if set(absent) - optional:
-        raise ValueError(f"table {name!r} lacks columns {sorted(set(absent) - optional)}")
-    typed = raw.select(*[typed_column(c, spec.types.get(c, "string")) for c in raw.columns])
-    return spread(typed, "order_id") if spec.multiline else typed
+    typed = typed_table(raw, spec)
+    # One task parses a multi-line file, so large inputs should come as many files, or as
+    # parquet. What it read is dealt out by size, whatever the keys.
+    return typed.hint("rebalance") if spec.multiline else typed
 
 
 def load_all_tables(

@@ -57,11 +57,29 @@ def test_row_counts_have_a_total(spark):
     assert rows == {"a": (3, 1), "b": (4, 2), "TOTAL": (7, None)}
 
 
-def test_spread_only_changes_narrow_scans(spark):
-    cores = spark.sparkContext.defaultParallelism
-    assert readers.spread(spark.range(0, 10, 1, 1), "id").rdd.getNumPartitions() == cores
-    wide = spark.range(0, 10, 1, cores + 3)
-    assert readers.spread(wide, "id") is wide
+def test_formats_give_equal_rows(spark, tmp_path):
+    rows = [("r1", "o1", "3.0", "2020-01-02 03:04:05"), ("r2", "o2", "3.7", "nan"), ("r3", None, None, None)]
+    columns = ["review_id", "order_id", "review_score", "review_creation_date"]
+    text = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))
+    text.write.parquet(str(tmp_path / "reviews.parquet"))
+    text.write.option("header", True).csv(str(tmp_path / "csv"))
+    text.write.mode("overwrite").saveAsTable("typed_reviews")
+    found = [
+        readers.load_table(spark, "reviews", str(tmp_path), "parquet"),
+        readers.load_table(spark, "reviews", "", "table", path="typed_reviews"),
+        readers.load_table(spark, "reviews", "", "csv", path=str(tmp_path / "csv")),
+    ]
+    spark.sql("DROP TABLE typed_reviews")
+    kinds = [df.dtypes for df in found]
+    assert kinds[0] == kinds[1] == kinds[2]
+    assert [r["review_score"] for r in found[0].orderBy("review_id").collect()] == [3, None, None]
+    assert found[0].exceptAll(found[2]).isEmpty() and found[2].exceptAll(found[0]).isEmpty()
+
+
+def test_parquet_lacking_a_column_is_refused(spark, tmp_path):
+    spark.range(2).withColumnRenamed("id", "order_id").write.parquet(str(tmp_path / "reviews.parquet"))
+    with pytest.raises(ValueError, match="lacks columns"):
+        readers.load_table(spark, "reviews", str(tmp_path), "parquet")
 
 
 def test_clean_column_names(spark):
@@ -88,7 +106,8 @@ def test_warehouse_load_replaces_and_checks(spark, tmp_path):
     result = sinks.run_query_to_csv(spark, "SELECT count(*) AS n FROM shop.numbers", str(tmp_path / "q"))
     assert result.first().n == 5
     assert spark.read.csv(str(tmp_path / "q"), header=True).first().n == "5"
-    assert readers.load_table(spark, "orders", "shop", "table", "shop.numbers").count() == 5
+    with pytest.raises(ValueError, match="lacks columns"):
+        readers.load_table(spark, "orders", "shop", "table", "shop.numbers")
 
 
 def test_json_document_round_trip(spark, tmp_path):
