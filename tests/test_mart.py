@@ -162,3 +162,29 @@ def test_hot_product_is_split(spark):
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_items_are_scanned_and_dealt_once(spark, tables, tmp_path):
+    from ontide.operators.mart import item_features
+
+    names = ["products", "category_translation", "sellers"]
+    for rows in (10, 100_000):
+        folder = str(tmp_path / str(rows))
+        tables["order_items"].limit(rows).write.parquet(folder)
+        items = spark.read.parquet(folder)
+        features = item_features(items, *(tables[n] for n in names))
+        plan = features._jdf.queryExecution().executedPlan().toString()
+        assert plan.count(folder) == 1
+        assert plan.count("Exchange hashpartitioning(order_id") == 1
+
+
+def test_ties_of_rates_go_to_the_smallest_value(spark, mart):
+    from ontide.plans.reports import key_findings
+
+    tied = mart.withColumns(
+        {
+            "is_late": F.lit(1),
+            "customer_state": F.when(F.col("order_id") % 2 == 0, "b").otherwise("a"),
+        }
+    )
+    assert key_findings(tied).first()["worst_customer_state"] == "a"
