@@ -1,17 +1,20 @@
-"""Pairwise Pearson correlations in one pass."""
+"""Pairwise Pearson correlations from one Gram matrix."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontide.contract import CORRELATION_COLUMNS, TARGET_COLUMN
 
-
-def _named(index: Column, names: Sequence[str]) -> Column:
-    return F.element_at(F.array(*[F.lit(n) for n in names]), index + 1)
+# A sum of squared deviations below this share of the sum of squares is rounding: a constant.
+_CONSTANT = 1e-12
 
 
 def pair_correlations(
@@ -22,39 +25,44 @@ def pair_correlations(
     Without `others` it is every pair of `columns` in one order, a column with itself
     included. Each pair uses the rows where both are known; a constant gives null.
 
-    A row becomes one row per pair of known values, which a compact aggregate combines
-    before the shuffle, so the shuffle carries one row per task and pair. One wide
-    aggregate over all pairs is too large to compile, and an array of pair structs
-    takes seven times as long as the two explodes.
+    A row becomes a vector of values less the column's mean (0 where unknown), of marks of
+    what is known, and of squares. The products of these vectors, summed over the rows, hold all
+    counts and sums that the pairs need. Each task adds them up in one small matrix, so no rows
+    multiply and nothing but those matrices is exchanged. Two passes read the columns.
     """
-    def vector(names: Sequence[str]) -> Column:
-        return F.array(*[F.col(n).cast("double") for n in names])
-
     mirrored = others is None
     others = list(columns) if others is None else list(others)
-    first = df.select(vector(others).alias("right"), F.posexplode(vector(columns)).alias("i", "x"))
-    second = first.filter(F.col("x").isNotNull()).select(
-        "i", "x", F.posexplode("right").alias("j", "y")
-    )
-    known = second.filter(F.col("y").isNotNull())
-    if mirrored:
-        known = known.filter(F.col("i") <= F.col("j"))
-    spread = F.stddev_pop("x") * F.stddev_pop("y")
-    measured = known.groupBy("i", "j").agg(
-        F.try_divide(F.covar_pop("x", "y"), spread).alias("correlation")
-    )
-    # Pairs without a common known row are part of the result.
+    names = list(dict.fromkeys([*columns, *others]))
+    n = len(names)
+    at = {name: i for i, name in enumerate(names)}
+    known = df.select(*[F.col(c).cast("double").alias(f"c{i}") for c, i in at.items()])
+    means = known.agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(n)]).first()
+    deviations = [F.coalesce(F.col(f"c{i}") - F.lit(means[i] or 0.0), F.lit(0.0)) for i in range(n)]
+    marks = [F.col(f"c{i}").isNotNull().cast("double") for i in range(n)]
+    squares = [d * d for d in deviations]
+    vectors = known.select(array_to_vector(F.array(*deviations, *marks, *squares)).alias("v"))
+    gram = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "v"), 0, 3 * n)
+    sums = gram.computeGramianMatrix().toArray() if any(m is not None for m in means) else None
+
+    def correlation(i: int, j: int) -> float | None:
+        if sums is None:
+            return None
+        rows, product = sums[n + i, n + j], sums[i, j]
+        a, b = sums[i, n + j], sums[j, n + i]
+        aa, bb = sums[2 * n + i, n + j], sums[2 * n + j, n + i]
+        spread_a, spread_b = rows * aa - a * a, rows * bb - b * b
+        if spread_a <= _CONSTANT * rows * aa or spread_b <= _CONSTANT * rows * bb:
+            return None
+        return float((rows * product - a * b) / (math.sqrt(spread_a) * math.sqrt(spread_b)))
+
     pairs = [
-        (i, j)
-        for i in range(len(columns))
-        for j in range(len(others))
+        (first, second, correlation(at[first], at[second]))
+        for i, first in enumerate(columns)
+        for j, second in enumerate(others)
         if not mirrored or i <= j
     ]
-    frame = df.sparkSession.createDataFrame(pairs, "i int, j int")
-    return frame.join(F.broadcast(measured), ["i", "j"], "left").select(
-        _named(F.col("i"), columns).alias("feature_a"),
-        _named(F.col("j"), others).alias("feature_b"),
-        "correlation",
+    return df.sparkSession.createDataFrame(
+        pairs, "feature_a string, feature_b string, correlation double"
     )
 
 
