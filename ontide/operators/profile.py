@@ -61,6 +61,14 @@ def _quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def _as_text(field: T.StructField) -> Column:
+    """A value as text; -0.0 and 0.0 are one value."""
+    value = _quoted(field.name)
+    if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+        value = value + F.lit(0.0)
+    return value.cast("string")
+
+
 def value_histogram(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column_name, value, count) of non-null values, as text.
 
@@ -69,7 +77,7 @@ def value_histogram(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     """
     columns = list(columns or df.columns)
     cells = df.select(
-        F.posexplode(F.array(*[_quoted(c).cast("string") for c in columns])).alias("at", "value")
+        F.posexplode(F.array(*[_as_text(df.schema[c]) for c in columns])).alias("at", "value")
     )
     counts = cells.filter(F.col("value").isNotNull()).groupBy("at", "value").count()
     names = F.array(*[F.lit(c) for c in columns])
@@ -81,32 +89,40 @@ def value_histogram(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 def describe_table(df: DataFrame, name: str, samples: int = 3) -> DataFrame:
     """Type, null count and the smallest distinct values of each column.
 
-    Each sample is the least value above the one before: a scan with a one-row
-    aggregate, so no column's values are shuffled or collected.
+    Each sample is the least value above the one before: a scan with a one-row aggregate
+    that compares with the values found so far as constants. No column's values are shuffled
+    or collected, and no table is joined.
     """
-    found = df.agg(*[count_null(_quoted(c)).alias(f"null_count__{i}") for i, c in enumerate(df.columns)])
+    fields = list(df.schema)
+    nulls: list[int] = []
+    texts: list[list[str]] = [[] for _ in fields]
+    above: list[Column | None] = [None] * len(fields)
     for step in range(samples):
         smallest = []
-        for i, c in enumerate(df.columns):
-            value = _quoted(c)
-            if step:
-                value = F.when(value > F.col(f"sample_{step - 1}__{i}"), value)
-            smallest.append(F.min(value).alias(f"sample_{step}__{i}"))
-        source = df.join(F.broadcast(found), how="cross") if step else df
-        found = found.join(F.broadcast(source.agg(*smallest)), how="cross")
+        for i, field in enumerate(fields):
+            value = _quoted(field.name)
+            if step and above[i] is None:
+                least = F.lit(None).cast(field.dataType)
+            else:
+                least = F.min(F.when(value > above[i], value) if step else value)
+            smallest += [least.alias(f"value_{i}"), least.cast("string").alias(f"text_{i}")]
+        counts = [count_null(_quoted(f.name)).alias(f"nulls_{i}") for i, f in enumerate(fields)]
+        row = df.agg(*smallest, *([] if step else counts)).first()
+        for i, field in enumerate(fields):
+            if not step:
+                nulls.append(row[f"nulls_{i}"])
+            found = row[f"value_{i}"]
+            above[i] = None if found is None else F.lit(found).cast(field.dataType)
+            if found is not None:
+                texts[i].append(row[f"text_{i}"])
     entries = [
-        F.struct(
-            F.lit(name).alias("table_name"),
-            F.lit(field.name).alias("column_name"),
-            F.lit(field.dataType.simpleString()).alias("dtype"),
-            F.col(f"null_count__{i}").alias("null_count"),
-            F.array_join(
-                F.array(*[F.col(f"sample_{s}__{i}").cast("string") for s in range(samples)]), ", "
-            ).alias("sample_values"),
-        )
-        for i, field in enumerate(df.schema)
+        (name, field.name, field.dataType.simpleString(), nulls[i], ", ".join(texts[i]))
+        for i, field in enumerate(fields)
     ]
-    return found.select(F.inline(F.array(*entries)))
+    return df.sparkSession.createDataFrame(
+        entries,
+        "table_name string, column_name string, dtype string, null_count bigint, sample_values string",
+    )
 
 
 def describe_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
