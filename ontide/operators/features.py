@@ -34,7 +34,6 @@ from ontide.operators.quantiles import exact_quantiles
 from ontide.session import stage
 from ontide.sources.cleaning import coerce_timestamps
 
-MAX_LABELS = 100_000
 
 # Mart columns each derived feature needs.
 DERIVED_INPUTS = {
@@ -200,18 +199,14 @@ def fit_labels(
 ) -> dict[str, list[str]]:
     """Sorted distinct labels per column; null is the label "missing".
 
-    One pass for all columns. Labels are categories (states, weekdays, payment types), so
-    their list is small beside the rows; it is what a saved indexer holds as well. A
-    column with more than `MAX_LABELS` values is no category and is refused.
+    One pass for all columns. The list is what the saved indexer of a model holds.
     """
     present = [c for c in columns if c in df.columns]
     if not present:
         return {}
     cells = F.posexplode(F.array(*[_labelled(c) for c in present])).alias("at", "label")
     found = df.select(cells).distinct()
-    rows = found.limit(MAX_LABELS + 1).collect()
-    if len(rows) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels in {present}; not categories")
+    rows = found.collect()
     labels: dict[str, list[str]] = {c: [] for c in present}
     for row in rows:
         labels[present[row["at"]]].append(row["label"])

@@ -102,12 +102,6 @@ def test_unseen_takes_the_code_of_a_learned_missing_label(spark):
     assert [r.customer_state_encoded for r in ft.apply_labels(rows, labels).collect()] == [1, 1, 2]
 
 
-def test_too_many_labels_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(ft, "MAX_LABELS", 3)
-    with pytest.raises(ValueError, match="not categories"):
-        ft.fit_labels(spark.range(9).selectExpr("string(id) AS customer_state"), ["customer_state"])
-
-
 def test_feature_matrix_has_contract_order_and_no_nulls(spark, mart):
     fitted = ft.fit_preprocessor(mart)
     matrix = ft.feature_matrix(mart, fitted)
