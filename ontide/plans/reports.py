@@ -47,9 +47,10 @@ def key_findings(mart: DataFrame) -> DataFrame:
     worst = ranked.groupBy().agg(
         *[
             F.coalesce(
-                F.max_by(
-                    F.when(F.col("dimension") == d, F.col("value")),
-                    F.when(F.col("dimension") == d, F.col("late_rate_pct")),
+                # of equal rates the smallest value
+                F.min_by(
+                    "value",
+                    F.when(F.col("dimension") == d, F.struct(-F.col("late_rate_pct"), "value")),
                 ),
                 F.lit("N/A"),
             ).alias(alias)
