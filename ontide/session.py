@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +52,10 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+# Paths staged inside each open `stage_scope`.
+_SCOPES: list[list[str]] = []
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
@@ -57,10 +63,24 @@ def stage(df: DataFrame) -> DataFrame:
     recomputation, it survives the loss of executors, and it keeps the passes consistent:
     a floating-point mean may differ in its last digit from one evaluation of a shuffle
     to the next. The files lie under the application's id, so they can be removed once
-    the application has ended.
+    the application has ended; inside a `stage_scope` they go when it closes.
     """
     spark = df.sparkSession
     application = spark.sparkContext.applicationId
     path = f"{shared_dir(spark)}/ontide-stage/{application}/{uuid4().hex}"
     df.write.parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def stage_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what was staged inside; nothing that reads it may be returned."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for name in _SCOPES.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
