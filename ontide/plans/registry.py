@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from uuid import uuid4
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,9 +45,6 @@ REGION_CENTRES = {
 }
 
 SAMPLE_THRESHOLD = 0.6
-# A short training for the registered queries; `train_risk_model` defaults to the full one.
-QUICK_PARAMS = train.BoostingParams(rounds=12, max_depth=4, learning_rate=0.15)
-
 QUERIES: dict[str, Query] = {}
 
 
@@ -631,14 +629,30 @@ def business_impact(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- Training. One run per session and folder serves these queries.
 
-_RUNS: dict[tuple[str, str], train.TrainingRun] = {}
+# The runs go when their session does.
+_RUNS: WeakKeyDictionary[SparkSession, dict[str, train.TrainingRun]] = WeakKeyDictionary()
 
 
 def training_run(spark: SparkSession, folder: str) -> train.TrainingRun:
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _RUNS:
-        _RUNS[key] = train.train_risk_model(mart(spark, folder), QUICK_PARAMS, draws=2, folds=2)
-    return _RUNS[key]
+    runs = _RUNS.setdefault(spark, {})
+    if folder not in runs:
+        runs[folder] = train.train_risk_model(mart(spark, folder))
+    return runs[folder]
+
+
+@query
+def model_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """What holds for any trained model: one score in [0, 1] per test order, importances that
+    sum to one, and a better order than chance."""
+    run = training_run(spark, folder)
+    importances = run.model.trees.featureImportances.toArray()
+    return run.scored_test.agg(
+        F.count(F.lit(1)).alias("test_orders"),
+        (F.count_distinct("order_id") == F.count(F.lit(1))).alias("scored_once"),
+        F.every(F.col("score").between(0, 1)).alias("scores_in_range"),
+        F.lit(bool(abs(importances.sum() - 1) < 1e-9)).alias("importances_sum_to_one"),
+        F.lit(bool(run.default_row["auc_roc"] > 0.5)).alias("beats_chance"),
+    )
 
 
 @query

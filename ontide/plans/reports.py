@@ -11,12 +11,25 @@ from ontide.contract import CORRELATION_COLUMNS
 from ontide.operators import profile as prof
 from ontide.operators import rates
 from ontide.operators.correlation import correlation_matrix, correlation_with_target
+from ontide.operators.evaluate import (
+    business_impact,
+    classification_report,
+    confusion_counts,
+    threshold_analysis,
+)
 from ontide.operators.features import Preprocessor, feature_matrix, fit_preprocessor
 from ontide.operators.mart import order_mart
 from ontide.operators.quantiles import quantile_bins
+from ontide.operators.train import (
+    TrainingRun,
+    feature_importance,
+    metrics_document,
+    model_deltas,
+    train_risk_model,
+)
 from ontide.plans import kpis
-from ontide.session import stage
-from ontide.sources.sinks import save_report, save_stage, save_text
+from ontide.session import stage, stage_scope
+from ontide.sources.sinks import save_json, save_report, save_stage, save_text
 
 FINDING_DIMENSIONS = {
     "customer_state": "worst_customer_state",
@@ -93,10 +106,15 @@ def findings_text(findings: DataFrame) -> DataFrame:
 # Reports over the mart, by the name they are stored under.
 MART_REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "baseline_summary": rates.baseline_summary,
-    **{
-        f"late_by_{d}": (lambda mart, d=d: rates.late_rate_by(mart, d))
-        for d in rates.RATE_DIMENSIONS
-    },
+    # all dimensions in one pass
+    "late_by_dimension": lambda mart: rates.late_rate_all(mart, list(rates.RATE_DIMENSIONS)),
+    "late_by_weekday": rates.late_rate_weekdays,
+    "late_by_month": rates.late_rate_months,
+    "review_by_outcome": rates.review_by_outcome,
+    "delivery_histogram": lambda mart: rates.delivery_histogram(mart, 1, 100, 80),
+    "delay_distribution": rates.delay_distribution,
+    "top_categories": rates.top_categories,
+    "state_map": lambda mart: rates.state_map(mart, rates.state_centres(mart.sparkSession)),
     "late_by_price_quartile": lambda mart: quantile_bins(mart, "total_price", "is_late"),
     "late_by_freight_quartile": lambda mart: quantile_bins(mart, "total_freight", "is_late"),
     "correlation_matrix": correlation_matrix,
@@ -108,6 +126,15 @@ MART_REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "monthly_trend": kpis.monthly_trend,
 }
 
+# Reports over the raw tables.
+TABLE_REPORTS: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] = {
+    "table_overview": prof.table_overview,
+    "missing_values": prof.missing_values,
+    "describe_tables": prof.describe_tables,
+    "join_key_counts": prof.join_key_counts,
+    "orphan_keys": prof.orphan_keys,
+}
+
 # Reports over the feature matrix.
 MATRIX_REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "overall_kpis": kpis.overall_kpis,
@@ -119,8 +146,34 @@ MATRIX_REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 
 def build_order_mart(tables: dict[str, DataFrame], path: str) -> DataFrame:
-    """Store the mart by year and month, so that a report on a period reads that period."""
-    return save_stage(order_mart(tables), path, ["purchase_year", "purchase_month_num"])
+    """Store the mart by year and month, so that a report on a period reads that period.
+
+    Rows of a month are brought together first, or every task would write a file per month;
+    a large month is split by size.
+    """
+    keys = ["purchase_year", "purchase_month_num"]
+    return save_stage(order_mart(tables).hint("rebalance", *keys), path, keys)
+
+
+def run_model(mart: DataFrame, output: str, **options) -> TrainingRun:
+    """Train on a stored mart, and store the model, its metrics and the reports on it."""
+    spark = mart.sparkSession
+    run = train_risk_model(mart, **options)
+    run.model.save(spark, f"{output}/model")
+    save_json(metrics_document(spark, run), f"{output}/model_metrics")
+    scores = run.scored_test
+    confusion = confusion_counts(scores, run.model.threshold)
+    features = run.model.preprocessor.features
+    reports = {
+        "feature_importance": feature_importance(spark, run.model.trees, features),
+        "model_deltas": model_deltas(spark, run),
+        "threshold_analysis": threshold_analysis(scores),
+        "business_impact": business_impact(confusion),
+        "classification_report": classification_report(confusion),
+    }
+    for name, report in reports.items():
+        save_report(report, f"{output}/reports/{name}")
+    return run
 
 
 def run_reports(
@@ -128,21 +181,23 @@ def run_reports(
 ) -> tuple[DataFrame, DataFrame, Preprocessor]:
     """Raw tables to stored mart, feature matrix and CSV reports.
 
-    The mart and the matrix are written once; every report reads only its columns of them.
+    The mart and the matrix are written once; every report reads only its columns of them. What
+    the operators stage on the way is removed at the end.
     """
-    if profile:
-        save_report(prof.table_overview(tables), f"{output}/reports/table_overview")
-        save_report(prof.missing_values(tables), f"{output}/reports/missing_values")
-    mart = build_order_mart(tables, f"{output}/order_mart")
-    fitted = fit_preprocessor(mart, stable=True)
-    matrix = save_stage(feature_matrix(mart, fitted), f"{output}/feature_matrix")
-    for name, report in MART_REPORTS.items():
-        save_report(report(mart), f"{output}/reports/{name}")
-    for name, report in MATRIX_REPORTS.items():
-        save_report(report(matrix), f"{output}/reports/{name}")
-    save_report(
-        prof.feature_report(matrix, fitted.features), f"{output}/reports/feature_report"
-    )
-    save_text(findings_text(key_findings(mart)), f"{output}/reports/key_findings")
+    spark = tables["orders"].sparkSession
+    with stage_scope(spark):
+        if profile:
+            for name, report in TABLE_REPORTS.items():
+                save_report(report(tables), f"{output}/reports/{name}")
+        mart = build_order_mart(tables, f"{output}/order_mart")
+        fitted = fit_preprocessor(mart, stable=True)
+        matrix = save_stage(feature_matrix(mart, fitted), f"{output}/feature_matrix")
+        for name, report in MART_REPORTS.items():
+            save_report(report(mart), f"{output}/reports/{name}")
+        for name, report in MATRIX_REPORTS.items():
+            save_report(report(matrix), f"{output}/reports/{name}")
+        save_report(
+            prof.feature_report(matrix, fitted.features), f"{output}/reports/feature_report"
+        )
+        save_text(findings_text(key_findings(mart)), f"{output}/reports/key_findings")
     return mart, matrix, fitted
-

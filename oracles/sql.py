@@ -1062,6 +1062,15 @@ add(
           {r('abs(a - b)')} AS rate_difference, abs(a - b) < 0.005 AS balanced FROM sized""",
     ORDERS,
 )
+add(
+    "model_invariants",
+    f"""{DELIVERED}, classes AS (
+      SELECT CAST(sum(is_late) AS BIGINT) AS n1, count(*) - CAST(sum(is_late) AS BIGINT) AS n0
+      FROM delivered)""",
+    """SELECT CAST(round(n0 * 0.2) + round(n1 * 0.2) AS BIGINT) AS test_orders, TRUE AS scored_once,
+         TRUE AS scores_in_range, TRUE AS importances_sum_to_one, TRUE AS beats_chance FROM classes""",
+    ORDERS,
+)
 add(
     "late_class_weight",
     DELIVERED,

@@ -1,6 +1,7 @@
 """Training, scoring, saved models and streams."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from ontide.operators import rates, scoring, train
 from ontide.operators.features import Preprocessor, feature_matrix
 from ontide.operators.mart import delivered_orders, with_durations
+from ontide.plans import reports
 from ontide.plans.reports import findings_text, key_findings, run_reports
 from ontide.sources.sinks import load_json, save_json, save_stage
 from ontide.streaming import jobs
@@ -199,10 +201,37 @@ def test_unknown_states_leave_the_map(spark, mart):
     assert rates.state_centres(spark).count() == 27
 
 
+def test_stage_scope_removes_what_it_staged(spark):
+    from ontide import session
+
+    def folders():
+        top = f"{session.shared_dir(spark)}/ontide-stage/{spark.sparkContext.applicationId}"
+        return set(os.listdir(top.removeprefix("file://")))
+
+    session.stage(spark.range(1))
+    before = folders()
+    with session.stage_scope(spark):
+        assert session.stage(spark.range(3)).count() == 3
+        assert len(folders()) == len(before) + 1
+    assert folders() == before
+
+
+def test_model_run_stores_model_and_reports(spark, mart, tmp_path):
+    run = reports.run_model(mart, str(tmp_path), params=PARAMS, draws=1, folds=2)
+    stored = {p.name for p in (tmp_path / "reports").iterdir()}
+    assert stored == {
+        "feature_importance", "model_deltas", "threshold_analysis", "business_impact", "classification_report"
+    }
+    loaded = train.RiskModel.load(spark, str(tmp_path / "model"))
+    assert loaded.threshold == run.model.threshold
+    assert load_json(spark, str(tmp_path / "model_metrics"), train.METRICS_SCHEMA).count() == 1
+
+
 def test_full_run_writes_every_report(spark, tables, tmp_path):
     mart, matrix, fitted = run_reports(tables, str(tmp_path))
     stored = {p.name for p in (tmp_path / "reports").iterdir()}
-    assert {"baseline_summary", "overall_kpis", "feature_report", "key_findings", "missing_values"} <= stored
+    extra = {"feature_report", "key_findings"}
+    assert stored == {*reports.TABLE_REPORTS, *reports.MART_REPORTS, *reports.MATRIX_REPORTS, *extra}
     assert matrix.count() == mart.count()
     lines = [r.value for r in findings_text(key_findings(mart)).collect()]
     assert any(line.startswith("Worst customer state: ") for line in lines)
