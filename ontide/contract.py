@@ -44,6 +44,7 @@ CATEGORICAL_COLUMNS = [
     "main_product_category",
 ]
 
+# Fixed value: the label.
 TARGET_COLUMN = "is_late"
 
 # Model inputs. The order is part of the contract.
@@ -97,6 +98,7 @@ CORRELATION_COLUMNS = [
     "payment_count",
 ]
 
+# Features built from other columns.
 DERIVED_FEATURES = [
     "is_weekend",
     "cross_state",
