@@ -8,7 +8,8 @@ it, the source span it came from:
   become ASCII; characters without width vanish;
 - spelled digits: runs of four or more number words ("five five zero one") become digits;
 - at and dot: "(at)", "[at]", "{at}" and "(dot)" and so on become marks; bare "at" and "dot" do
-  only where a name, "at", a host and "dot" follow each other, so that running text stays.
+  only where a name, "at", a host, "dot" and a common top-level domain follow each other, so that running
+  text stays.
 
 The same patterns run over the normalised text; what they find is mapped back to the source
 and added unless it overlaps a span already found of its kind.
@@ -56,9 +57,14 @@ NUMBER_WORD = re.compile(NUMBER, re.I)
 BRACKETED = re.compile(
     "[ ]?[\\[({<][ ]?(?:(at)|(dot|punkt|punto|point)|(plus)|(dash|minus))[ ]?[\\])}>][ ]?", re.I
 )
+# Endings of hosts that aren't English words themselves.
+TOP_LEVELS = (
+    "com org net edu gov mil int info biz io co ai app dev eu uk de fr es nl ch pl se dk fi pt ie ca br mx "
+    "au nz jp cn ru za"
+).split()
 BARE = re.compile(
     "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}( at )[A-Za-z0-9-]{1,63}"
-    "((?:( dot )|\\.)[A-Za-z0-9-]{1,63})*( dot )[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "((?:( dot )|\\.)[A-Za-z0-9-]{1,63})*( dot )(?:" + "|".join(TOP_LEVELS) + ")(?![A-Za-z0-9])",
     re.I,
 )
 WORD_DOT = re.compile(" dot ", re.I)
