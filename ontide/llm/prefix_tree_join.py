@@ -5,7 +5,7 @@ order for all sets. Where sets meet in a bucket they are stored in a trie with m
 walking the trie from its root, so the overlap with a common beginning is counted once for all
 sets below it. A subtree is left when the overlap so far and what the remaining lengths can still
 give don't reach what the shortest set below needs, or when lengths differ too much, or when all
-below belongs to the set's own group already.
+below belongs to the set's own group or is compared elsewhere.
 
 How sets find their bucket. Two sets with a Jaccard similarity of at least 0.9 differ in at most a
 nineteenth of their joint length, D elements. Hash ranges cut a set into more than D parts, so at
@@ -16,9 +16,11 @@ and a passage that many texts share makes no key by itself, unlike single shingl
 
 Order of work: equal sets are one class. Merging rounds put every group's head into the bucket
 of its smallest key that other groups have too, in chunks of `chunk` heads, and join there; a
-group of many near copies shrinks to a few heads at a cost linear in its size. Then every key that
-still holds several groups is joined in full, all its members: the largest group in chunks, each
-with the others. Only spanning links leave a bucket, never all pairs.
+group of many near copies shrinks to a few heads at a cost linear in its size. Then everything
+that keys of several groups still hold is joined in full: small families that keys connect in a bucket
+each, and the other keys by themselves, the largest group of a key in chunks, each with the
+key's other members; sets that share several such keys are compared under the smallest. Only the groups
+that links make leave a bucket, never all pairs.
 
 Null and empty texts have the empty set: n_shingles 0, linked with nothing, their own component.
 Rows with a null id get their set's size and a null component and link nothing. Repeated rows
@@ -47,7 +49,7 @@ class JoinParams:
 
     percent: int = 90
     chunk: int = 128
-    rounds: int = 4
+    rounds: int = 2
 
 
 class WordHashes(dict):
@@ -147,13 +149,14 @@ class Groups:
 
 
 class PrefixTree:
-    """Trie of ascending sets with merged edges, over sets in lexicographic order."""
+    """Trie of ascending sets with merged edges, over sets of small numbers in lexicographic order."""
 
-    PIECE = 64
+    PIECE = 256
 
     def __init__(self, sets: list[np.ndarray], percent: int):
         self.sets, self.percent = sets, percent
         self.lengths = [len(s) for s in sets]
+        self.held = np.zeros(1 + max(int(s[-1]) for s in sets), bool)
         common = [self._common(sets[i], sets[i + 1]) for i in range(len(sets) - 1)]
         self.root = self._node(0, len(sets), 0, common)
 
@@ -173,48 +176,73 @@ class PrefixTree:
         children = [self._node(a, b, end, common) for a, b in zip(cuts, cuts[1:])]
         return low, high, depth, end, min(lengths), max(lengths), children
 
-    def links(self, at: int, groups: Groups):
-        """Sets after position `at` that link with its set and aren't in its group yet."""
+    def links(self, at: int, done: int):
+        """Sets after position `at` that link with its set, but for those whose bit is set in `done`."""
         probe, n, percent = self.sets[at], self.lengths[at], self.percent
-        stack = [(self.root, 0, 0)]  # node, overlap so far, place in the probe
+        held = self.held
+        held[probe] = True
+        stack = [(self.root, 0, 0)]  # node, overlap so far, elements of the probe passed
         while stack:
-            node, overlap, place = stack.pop()
+            node, overlap, passed = stack.pop()
             low, high, start, end, shortest, longest, children = node
             if high <= at + 1 or 100 * longest < percent * n or 100 * n < percent * shortest:
                 continue
-            own = groups.find(at)
-            if all(groups.find(i) == own for i in range(max(low, at + 1), high)):
+            first = max(low, at + 1)
+            every = (1 << (high - first)) - 1
+            if (done >> first) & every == every:
                 continue
+            # what the shortest set below that may link needs in common
             need = -(-percent * (n + max(shortest, -(-percent * n // 100))) // (100 + percent))
             edge, reached = self.sets[low], start
             while reached < end:
-                if overlap + min(n - place, longest - reached) < need:
+                if overlap + min(n - passed, longest - reached) < need:
                     break
                 piece = edge[reached : min(end, reached + self.PIECE)]
-                spots = np.searchsorted(probe, piece)
-                inside = spots < n
-                overlap += int(np.count_nonzero(probe[spots[inside]] == piece[inside]))
-                place = int(np.searchsorted(probe, piece[-1], "right"))
+                overlap += int(np.count_nonzero(held[piece]))
+                passed = int(probe.searchsorted(piece[-1], "right"))
                 reached += len(piece)
             else:
                 if children:
-                    stack += [(child, overlap, place) for child in children]
-                elif low > at and 100 * overlap >= percent * (n + self.lengths[low] - overlap):
+                    stack += [(child, overlap, passed) for child in children]
+                elif 100 * overlap >= percent * (n + self.lengths[low] - overlap):
                     yield low
+        held[probe] = False
 
 
-def join_bucket(sets: list[np.ndarray], labels: list[int], percent: int) -> list[tuple[int, int]]:
-    """Spanning links (positions) between sets of a bucket; sets of one label count as linked."""
-    order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-    tree, groups, first = PrefixTree([sets[i] for i in order], percent), Groups(len(sets)), {}
+def join_bucket(
+    sets: list[np.ndarray], labels: list[int], percent: int, earlier: list[list[int]] | None = None
+) -> list[tuple[int, int]]:
+    """(smallest label, other label) of the groups that the links of a bucket's sets make.
+
+    Sets of one label count as linked. `earlier` has each set's keys that come before the
+    bucket's: two sets that have one of them in common meet there and aren't compared here.
+    """
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    coded = np.split(codes, np.cumsum([len(s) for s in sets])[:-1])
+    order = sorted(range(len(sets)), key=lambda i: coded[i].astype(">i4").tobytes())
+    tree, groups = PrefixTree([coded[i] for i in order], percent), Groups(len(sets))
+    bits: dict[int, int] = {}  # members of a group, by the group's first member
+    first: dict[int, int] = {}
+    holders: dict[int, int] = {}
+    for at, i in enumerate(order):
+        head = first.setdefault(labels[i], at)
+        groups.join(at, head)
+        bits[head] = bits.get(head, 0) | 1 << at
+        for key in earlier[i] if earlier else ():
+            holders[key] = holders.get(key, 0) | 1 << at
+    for at, i in enumerate(order):
+        done = bits[groups.find(at)]
+        for key in earlier[i] if earlier else ():
+            done |= holders[key]
+        for other in tree.links(at, done):
+            one, two = groups.find(at), groups.find(other)
+            if groups.join(one, two):
+                bits[min(one, two)] = bits.pop(one) | bits.pop(two)
+    smallest: dict[int, int] = {}
     for at, i in enumerate(order):
-        groups.join(at, first.setdefault(labels[i], at))
-    found = []
-    for at in range(len(order)):
-        for other in tree.links(at, groups):
-            if groups.join(at, other):
-                found.append((order[at], order[other]))
-    return found
+        head = groups.find(at)
+        smallest[head] = min(labels[i], smallest.get(head, labels[i]))
+    return sorted({(smallest[groups.find(at)], labels[i]) for at, i in enumerate(order)} - {(x, x) for x in labels})
 
 
 SIGNED = "doc_id bigint, text_key binary, n bigint, digest binary, keys array<bigint>"
@@ -239,33 +267,35 @@ def signatures(docs: DataFrame, params: JoinParams, id_col: str, text_col: str)
 
 
 def bucket_links(members: DataFrame, texts: DataFrame, params: JoinParams) -> DataFrame:
-    """(a, b): links found in the buckets of `members` (bucket, chunk, cid, label)."""
+    """(a, b): the smallest label and another one of each group that the links make in a bucket of
+    `members` (bucket, chunk, cid, label, keys). `keys` may be null; else they are all live keys of the set.
+    """
     fields = parts("a bigint, b bigint")
 
     def run(batches):
         hashes = WordHashes()
-        current, ids, sets, labels = None, [], [], []
+        current, sets, labels, earlier = None, [], [], []
 
         def links():
-            return [(ids[i], ids[j]) for i, j in join_bucket(sets, labels, params.percent)]
+            return join_bucket(sets, labels, params.percent, earlier)
 
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(4)]
             out = []
-            for bucket, chunk, cid, label, text in zip(*columns, raw(batch.column(4))):
+            for bucket, chunk, label, keys, text in zip(*columns, raw(batch.column(4))):
                 if (bucket, chunk) != current:
-                    if len(ids) > 1:
+                    if len(sets) > 1:
                         out += links()
-                    current, ids, sets, labels = (bucket, chunk), [], [], []
-                ids.append(cid)
+                    current, sets, labels, earlier = (bucket, chunk), [], [], []
                 labels.append(label)
                 sets.append(shingle_set(text, hashes))
+                earlier.append([key for key in keys or () if key < bucket])
             yield batch_of(out, fields)
-        if len(ids) > 1:
+        if len(sets) > 1:
             yield batch_of(links(), fields)
 
-    joined = members.join(texts, "cid").select("bucket", "chunk", "cid", "label", "text")
-    dealt = joined.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "cid")
+    joined = members.join(texts, "cid").select("bucket", "chunk", "label", "keys", "text")
+    dealt = joined.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk")
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
@@ -288,7 +318,7 @@ def live_members(shared: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def in_chunks(members: DataFrame, size: int) -> DataFrame:
-    """(bucket, chunk, cid, label) of (key, cid, label): keys in chunks of about `size`."""
+    """(bucket, chunk, cid, label, keys) of (key, cid, label): keys in chunks of about `size`."""
     counts = members.groupBy("key").agg(F.count("*").alias("n"))
     chunks = F.ceil(F.col("n") / size)
     return members.join(counts, "key").select(
@@ -296,15 +326,18 @@ def in_chunks(members: DataFrame, size: int) -> DataFrame:
         F.pmod(F.xxhash64("cid"), chunks).cast("string").alias("chunk"),
         "cid",
         "label",
+        F.lit(None).cast("array<bigint>").alias("keys"),
     )
 
 
 def in_full(members: DataFrame, size: int) -> DataFrame:
-    """(bucket, chunk, cid, label) such that all members of different labels of a key meet somewhere.
+    """(bucket, chunk, cid, label, keys) such that all members of different labels of a key meet.
 
     The key's largest group is cut into chunks; each meets each chunk of the other members, and
     those meet one another. Other members mostly fit one chunk, so the largest group is sent once.
+    Sets that share several keys are compared under the smallest only; for that they carry their keys.
     """
+    listed = members.groupBy("cid").agg(F.collect_list("key").alias("keys"))
     groups = members.groupBy("key", "label").agg(F.count("*").alias("n"))
     sizes = groups.groupBy("key").agg(
         F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("total")
@@ -338,9 +371,39 @@ def in_full(members: DataFrame, size: int) -> DataFrame:
         dealt.withColumn("main", main)
         .withColumn("block", block)
         .select(F.col("key").alias("bucket"), F.explode(chunks).alias("chunk"), "cid", "label")
+        .join(listed, "cid")
     )
 
 
+def in_families(members: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(bucket, chunk, cid, label, keys) of families, and the (key, cid, label) that they don't settle.
+
+    A family is what keys connect, as far as two rounds of passing on the smallest set see. A family of up to
+    `size` sets is a bucket, to which each set is sent once instead of once for every key. A
+    key is settled when all its members are of one such family.
+    """
+    spread = members.withColumn("family", F.col("cid"))
+    for _ in range(2):
+        low = spread.groupBy("key").agg(F.min("family").alias("low"))
+        own = spread.join(low, "key").groupBy("cid").agg(F.min("low").alias("family"))
+        spread = members.join(own, "cid")
+    spread = stage(spread)
+    sizes = spread.select("family", "cid").distinct().groupBy("family").agg(F.count("*").alias("n"))
+    small = sizes.filter(F.col("n") <= size).select("family", F.lit(True).alias("small"))
+    keys = spread.groupBy("key").agg(F.min("family").alias("family"), F.max("family").alias("last"))
+    settled = keys.filter("family = last").join(small, "family").select("key", "small")
+    marked = spread.join(settled, "key", "left")
+    families = marked.filter("small").select("family", "cid", "label").distinct()
+    buckets = families.select(
+        F.col("family").alias("bucket"),
+        F.lit("family").alias("chunk"),
+        "cid",
+        "label",
+        F.lit(None).cast("array<bigint>").alias("keys"),
+    )
+    return buckets, marked.filter("small is null").select("key", "cid", "label")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable from each node of the edges (a, b).
 
@@ -400,24 +463,22 @@ def link_documents(
     )
     found = source.join(needed, ["rep", "text_key"]).select("cid", "text")
     texts = stage(found.groupBy("cid").agg(F.first("text").alias("text")))
-    groups = stage(texts.select("cid", F.col("cid").alias("label")))
-
-    for _ in range(params.rounds):
-        live = live_members(shared, groups)
-        heads = live.filter(F.col("cid") == F.col("label"))
-        chosen = heads.groupBy("cid").agg(F.min("key").alias("key"), F.first("label").alias("label"))
+    # at first every class is a group of its own, and all keys are shared by several
+    live = shared.withColumn("label", F.col("cid"))
+    groups = texts.select("cid", F.col("cid").alias("label"))
+    for number in range(params.rounds):
+        if number:
+            live = live_members(shared, groups).filter(F.col("cid") == F.col("label"))
+        chosen = live.groupBy("cid").agg(F.min("key").alias("key"), F.first("label").alias("label"))
         links = bucket_links(in_chunks(chosen, params.chunk), texts, params)
-        # a head is in one bucket, so the groups of a bucket's links are whole
-        roots = components(links)
-        if roots.isEmpty():
-            break
-        groups = merged_groups(groups, roots)
+        # a head is in one bucket only, so a bucket's groups are whole
+        groups = merged_groups(groups, links.select(F.col("b").alias("node"), F.col("a").alias("root")))
     live = stage(live_members(shared, groups))
-    last = bucket_links(in_full(live, 2 * params.chunk), texts, params)
-    named = groups.select(F.col("cid").alias("a"), F.col("label").alias("la"))
-    other = groups.select(F.col("cid").alias("b"), F.col("label").alias("lb"))
-    edges = last.join(named, "a").join(other, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    groups = merged_groups(groups, components(edges.filter("a <> b")))
+    families, rest = in_families(live, 2 * params.chunk)
+    last = families.unionByName(in_full(rest, 2 * params.chunk))
+    edges = stage(bucket_links(last, texts, params).distinct())
+    if not edges.isEmpty():
+        groups = merged_groups(groups, components(edges))
 
     grouped = classes.join(groups, "cid", "left").select(
         "digest", "rep", F.coalesce("label", "cid").alias("label")
