@@ -266,15 +266,15 @@ def repeated_runs(docs: DataFrame, params: RepeatParams, text_col: str) -> tuple
     text = docs[text_col]
     keyed = docs.select(F.unhex(F.md5(text)).alias("text_key"), text.alias("text"))
     found = stage(anchor_rows(keyed, params.length).distinct())
-    counts = found.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
+    # stored, so that the join below reads plain exchanges, and a hot hash is split there
+    counts = stage(found.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1"))
     chunks = F.ceil(F.col("n") / params.chunk)
     chunk = F.when(chunks > 1, F.pmod(F.xxhash64("text_key", "place"), chunks)).otherwise(-1)
     shared = found.join(counts, "hash").select(
         "text_key", F.struct("hash", chunk.cast("int").alias("chunk"), "place", "first", "last").alias("anchor")
     )
     # a text's own anchors: one in some 190 bytes
-    by_text = shared.groupBy("text_key").agg(F.collect_list("anchor").alias("anchors"))
-    by_text = stage(by_text)
+    by_text = stage(shared.groupBy("text_key").agg(F.collect_list("anchor").alias("anchors")))
     first = keyed.join(by_text.select("text_key"), "text_key").groupBy("text_key")
     texts = stage(first.agg(F.first("text").alias("text")))
     contexts = context_rows(texts.join(by_text, "text_key"), params.length)
