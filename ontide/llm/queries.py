@@ -65,7 +65,8 @@ def op9_jaccard_join(spark, sf_dir):
 
 
 def op10_suffix_tree(spark, sf_dir):
-    return suffix_tree_lm.score_documents(table(spark, sf_dir, "documents"))
+    params = suffix_tree_lm.TreeParams(depth=3)
+    return suffix_tree_lm.score_documents(table(spark, sf_dir, "documents"), params)
 
 
 QUERIES = {

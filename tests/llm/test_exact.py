@@ -457,6 +457,31 @@ def test_tree_matches_brute_force(spark):
     assert sum(score[i] for i in out) > sum(base[i] for i in out)
 
 
+def test_tree_keeps_contexts_of_a_large_corpus(spark):
+    """A context that is rare among all tokens is a state, whatever the size of the corpus."""
+    rng = random.Random(10)
+    texts = ["quartz lamp glows green"] * 40 + [" ".join(f"w{rng.randrange(60)}" for _ in range(2000)) for _ in range(300)]
+    rows = {r["doc_id"]: r for r in suffix_tree_lm.score_documents(documents(spark, texts)).collect()}
+    assert rows[0]["train_tokens"] > 40 * 10_000
+    # three of the five tokens follow a context that leaves no choice, but for the discount
+    assert all(rows[i]["score"] > rows[i]["base_score"] + 12 for i in range(40))
+
+
+def test_tree_depth(spark):
+    """Only three words before tell which word follows."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(600):
+        first = rng.choice("ab")
+        texts.append(f"{first} m n {'x' if first == 'a' else 'y'}")
+    scores = []
+    for depth in (2, 3):
+        params = suffix_tree_lm.TreeParams(depth=depth)
+        rows = suffix_tree_lm.score_documents(documents(spark, texts), params).collect()
+        scores.append(sum(r["score"] for r in rows) / len(rows))
+    assert scores[1] > scores[0] + 0.25
+
+
 # --- Pipeline
 
 
