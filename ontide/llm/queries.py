@@ -37,8 +37,9 @@ def op3_decontaminate(spark, sf_dir):
 
 
 def op4_token_counts(spark, sf_dir):
-    vocabulary = piece_counts.piece_vocabulary(tokenizer_path(PIECES))
-    return piece_counts.count_pieces(table(spark, sf_dir, "documents"), vocabulary)
+    path = tokenizer_path(PIECES)
+    vocabulary, spare = piece_counts.piece_vocabulary(path), piece_counts.spare_pieces(path)
+    return piece_counts.count_pieces(table(spark, sf_dir, "documents"), vocabulary, spare=spare)
 
 
 def op5_warc(spark, sf_dir):

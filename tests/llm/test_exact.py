@@ -154,6 +154,34 @@ def test_pieces_match_library(spark, small):
         assert row["n_tokens"] == len(library.encode(texts[row["doc_id"]]).ids), row
 
 
+def test_spare_pieces_spell_every_word(spark, small):
+    path = tokenizer_path(PIECES)
+    (initial, inner), spare = piece_counts.piece_vocabulary(path), piece_counts.spare_pieces(path)
+    assert spare.mark and len(spare.bytes) == 256
+
+    def greedy(word):
+        sizes = range(len(word), 0, -1)
+        at = next((n for n in sizes if word[:n] in initial), 0)
+        total = 1
+        while at < len(word):
+            n = next((n for n in range(len(word) - at, 0, -1) if word[at : at + n] in inner), 0)
+            total += 1 if n else len(word[at].encode())
+            at += n or 1
+        return total
+
+    counter = piece_counts.PieceCounter(initial, inner, spare)
+    assert counter.count("2024") == 5 and counter.count("\U000e0001") == 5
+    words = ["7", "3.14", "ñción", "ß", "çok", "漢字かな", "한국어", "ab一鿿", "\U0001f600x", "a\U000e0001b", "ภาษา"]
+    for row in table(spark, small, "documents").collect():
+        words += row["text"].split()
+    for word in set(words):
+        assert counter.count(word) == greedy(word), word
+    made = piece_counts.PieceCounter({"ab"}, {"xyz", "y", "c"}, piece_counts.SparePieces(True, frozenset(range(256))))
+    assert [made.count(w) for w in ("ac", "abxyz", "abxyc", "xyz", "éab")] == [3, 2, 4, 2, 5]
+    rows = QUERIES["op4_token_counts"](spark, small)
+    assert rows.filter("n_unknown > 0").isEmpty()
+
+
 # --- WARC
 
 
