@@ -12,7 +12,7 @@ it, the source span it came from:
   text stays.
 
 The same patterns run over the normalised text; what they find is mapped back to the source
-and added unless it overlaps a span already found of its kind.
+and added unless a base span of its kind holds it; where a base pattern saw only a piece of it, both stand.
 
 Null texts count as empty: no spans. Rows are independent, repeated rows give equal rows, an empty
 table gives none, other columns are ignored.
@@ -218,8 +218,7 @@ def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, in
     taken = {kind: [s[1:] for s in base if s[0] == kind] for kind in KINDS}
     for kind, start, end in base_spans(state.text):
         start, end = state.source(start, end)
-        if all(end <= a or b <= start for a, b in taken[kind]):
-            taken[kind].append((start, end))
+        if not any(a <= start and end <= b for a, b in taken[kind]):
             spans.append((kind, start, end))
     return base, in_order(spans)
 

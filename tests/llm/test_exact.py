@@ -271,6 +271,16 @@ def test_base_spans_stay():
     assert set(base) < set(spans) and pii.masked(text, spans) == "<EMAIL> and <EMAIL>"
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["jane [dot] doe@example.com", "j\u0430ne@example.com", "jo\u0430n.doe@example.com", "john@example.co dot uk"],
+)
+def test_wider_spans_stand_beside_base_spans(text):
+    base, spans = pii.all_spans("to " + text + ", soon")
+    assert base and set(base) < set(spans) and ("email", 3, 3 + len(text)) in spans
+    assert pii.masked("to " + text + ", soon", spans) == "to <EMAIL>, soon"
+
+
 def test_long_runs_are_linear():
     assert pii.base_spans("a" * 300_000 + " " + "1" * 300_000 + "." * 1000 + "+1" + "(" * 100_000) == []
 
