@@ -6,10 +6,13 @@ it, the source span it came from:
 
 - homoglyphs: full-width forms, digits of other scripts, look-alikes of Latin letters, dots and at signs
   become ASCII; characters without width vanish;
-- spelled digits: runs of four or more number words ("five five zero one") become digits;
-- at and dot: "(at)", "[at]", "{at}" and "(dot)" and so on become marks; bare "at" and "dot" do
-  only where a name, "at", a host, "dot" and a common top-level domain follow each other, so that running
-  text stays.
+- spelled digits: number words become digits in runs of digits and number words that the separators of phone and
+  card numbers part, where four words follow each other or the run has two words and ten digits in all;
+  a "plus" before such a run becomes its sign;
+- at and dot: "(at)", "[at]", "{at}" and "(dot)" and so on become marks everywhere. Bare "at" and "dot" do
+  in addresses: names parted by dots, an at sign, labels parted by dots, where signs and dots may be real,
+  bracketed or bare. A bare "at" needs a disguised dot. After a bare dot the ending is a top-level domain;
+  one that is an English word too needs another sign of an address, so that running text stays.
 
 The same patterns run over the normalised text; what they find is mapped back to the source
 and added unless a base span of its kind holds it; where a base pattern saw only a piece of it, both stand.
@@ -52,22 +55,41 @@ NUMBER_WORDS = {
     for n, word in enumerate("zero one two three four five six seven eight nine".split())
 } | {"oh": "0"}
 NUMBER = "(?:" + "|".join(NUMBER_WORDS) + ")"
-SPELLED = re.compile(f"(?<![A-Za-z]){NUMBER}(?:[ ,.-]{{1,2}}{NUMBER}){{3,}}(?![A-Za-z])", re.I)
+SPELLED = re.compile(f"{NUMBER}(?![A-Za-z])(?:[ ().,-]{{1,3}}{NUMBER}(?![A-Za-z]))*", re.I)
+UNIT = f"(?:{NUMBER}(?![A-Za-z])|[0-9]++(?![A-Za-z]))"
+NUMBER_RUN = re.compile(
+    f"(?<![A-Za-z0-9])(?:(plus)[ (,.-]{{1,3}})?{UNIT}(?:[ ().,-]{{1,3}}{UNIT})*+", re.I
+)
 NUMBER_WORD = re.compile(NUMBER, re.I)
+LEAST_WORDS, LEAST_DIGITS = 2, 10
 BRACKETED = re.compile(
     "[ ]?[\\[({<][ ]?(?:(at)|(dot|punkt|punto|point)|(plus)|(dash|minus))[ ]?[\\])}>][ ]?", re.I
 )
-# Endings of hosts that aren't English words themselves.
-TOP_LEVELS = (
-    "com org net edu gov mil int info biz io co ai app dev eu uk de fr es nl ch pl se dk fi pt ie ca br mx "
-    "au nz jp cn ru za"
-).split()
-BARE = re.compile(
-    "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}( at )[A-Za-z0-9-]{1,63}"
-    "((?:( dot )|\\.)[A-Za-z0-9-]{1,63})*( dot )(?:" + "|".join(TOP_LEVELS) + ")(?![A-Za-z0-9])",
-    re.I,
+# Top-level domains, first those that are English words or common in running text.
+WORD_ENDINGS = frozenset(
+    "ad ae am an as at be by do go gg hm id in is it la ma me mr ms my no pa so st to tm us ai ac sc "
+    "art bar best bid blue click club cool date design email eu fun game games golf group guru help home "
+    "host house info land life link live love market media money name network news one online party "
+    "photo photos plus press pro red review rest run sale school shop show site social space store "
+    "studio style support team tech tips today tools top town trade video watch website wiki win work "
+    "works world zone academy agency center company digital global international museum post travel".split()
+) - {"eu", "info"}
+ENDINGS = WORD_ENDINGS | frozenset(
+    "com org net edu gov mil int info biz io co app dev xyz icu vip asia cat coop jobs mobi tel aero arpa "
+    "cloud blog wien berlin hamburg koeln bayern paris london nyc tokyo swiss gmbh ltd llc inc "
+    "af ag ai al ao aq ar au aw ax az ba bb bd bf bg bh bi bj bm bn bo br bs bt bv bw bz ca cc cd cf "
+    "cg ch ci ck cl cm cn cr cu cv cw cx cy cz de dj dk dm dz ec ee eg er es et eu fi fj fk fm fo fr ga gb gd ge "
+    "gf gh gi gl gm gn gp gq gr gs gt gu gw gy hk hn hr ht hu ie il im iq ir je jm jo jp ke kg kh ki km kn kp kr "
+    "kw ky kz lb lc li lk lr ls lt lu lv ly mc md mg mh mk ml mm mn mo mp mq mt mu mv mw mx mz na nc ne nf ng ni "
+    "nl np nr nu nz om pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sb sd se sg sh si sj sk sl sm "
+    "sn sr ss su sv sx sy sz tc td tf tg th tj tk tl tn tr tt tv tw tz ua ug uk uy uz va vc ve vg vi vn vu wf "
+    "ws ye yt za zm zw sa".split()
 )
-WORD_DOT = re.compile(" dot ", re.I)
+# Words before a noun, which are neither names nor hosts.
+ARTICLES = frozenset("the a an this that these those each every any some his her its our your their my".split())
+AT = re.compile("(@)|( {1,3}at {1,3})|[ ]?[\\[({<][ ]?at[ ]?[\\])}>][ ]?", re.I)
+DOT = re.compile("( {1,3}dot {1,3})|[ ]?[\\[({<][ ]?(?:dot|punkt|punto|point)[ ]?[\\])}>][ ]?", re.I)
+LABELS = re.compile("[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)*+")
 
 
 def lookalike_table() -> dict[int, str]:
@@ -89,8 +111,8 @@ def lookalike_table() -> dict[int, str]:
 LOOKS = lookalike_table()
 SIGN_CHARACTERS = frozenset(map(chr, LOOKS)) | UNSEEN
 NUMBER_BYTES = frozenset(word.encode() for word in NUMBER_WORDS)
-WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if b in b",.-" else b for b in range(256))
-IN_SPELLED = 4
+WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if b in b"(),.-" else b for b in range(256))
+IN_SPELLED = 4  # words of a run that has no need of further digits
 
 
 def disguised(text: str) -> bool:
@@ -102,7 +124,7 @@ def disguised(text: str) -> bool:
         return True
     if any(mark in text for mark in "[({<") and BRACKETED.search(text):
         return True
-    return sum(map(NUMBER_BYTES.__contains__, lower.split())) >= IN_SPELLED
+    return sum(map(NUMBER_BYTES.__contains__, lower.split())) >= LEAST_WORDS
 
 
 def luhn(digits: str) -> bool:
@@ -179,33 +201,104 @@ class Normalised:
         return self.starts[start], self.ends[end - 1]
 
 
+def spelled_digits(text: str) -> list[tuple[int, int, str]]:
+    """Edits that write the number words of runs as digits."""
+    edits = []
+    for run in NUMBER_RUN.finditer(text):
+        words = [(group, NUMBER_WORD.findall(group[0])) for group in SPELLED.finditer(text, *run.span())]
+        n = sum(len(w) for _, w in words)
+        digits = n + sum(map(str.isdigit, run[0]))
+        enough = n >= LEAST_WORDS and digits >= LEAST_DIGITS
+        if run[1] and enough:
+            edits.append((run.start(1), run.end(1) + 1, "+"))
+        for group, own in words:
+            if enough or len(own) >= IN_SPELLED:
+                edits.append((*group.span(), "".join(NUMBER_WORDS[w.lower()] for w in own)))
+    return edits
+
+
+def address_marks(text: str) -> list[tuple[int, int, str]]:
+    """Edits that write the bare "at" and "dot" of addresses as marks, found from their at signs: each is
+    followed to both sides, so the time is linear in the text."""
+    edits, floor = [], 0
+    dots = {found.start(): found for found in DOT.finditer(text)}
+    before = {found.end(): found for found in dots.values()}
+    if not dots:
+        return edits
+    at_sign = AT.search(text)
+    while at_sign:
+        start, end, local_dots = at_sign.start(), at_sign.end(), []
+        while True:
+            label = start
+            while label > floor and text[label - 1] in LOCAL:
+                label -= 1
+            dot = before.get(label)
+            if label == start or text[label:start].lower() in ARTICLES:
+                break
+            start = label
+            if not dot or dot.start() <= floor or text[dot.start() - 1] not in LOCAL:
+                break
+            local_dots.append(dot)
+            start = dot.start()
+        if local_dots and start == local_dots[-1].start():
+            start = local_dots.pop().end()
+        reach, host = end, []  # (dot before the labels or None, labels)
+        dot, label = None, LABELS.match(text, end) if start < at_sign.start() else None
+        while label:
+            host.append((dot, label))
+            reach = label.end()
+            dot = dots.get(reach)
+            label = LABELS.match(text, dot.end()) if dot else None
+        while host and not address(text, start, at_sign, local_dots, host):
+            host.pop()
+        if host:
+            marks = [(*dot.span(1), ".") for dot in [*local_dots, *(d for d, _ in host if d)] if dot[1]]
+            edits += sorted([*marks, *([(*at_sign.span(2), "@")] if at_sign[2] else [])])
+            floor = host[-1][1].end()
+        at_sign = AT.search(text, max(end, floor) if host else end - 1 if at_sign[2] else end)
+    return edits
+
+
+def address(text: str, start: int, at_sign: re.Match, local_dots: list, host: list) -> bool:
+    """Whether a local part, an at sign and the labels of a host are an address."""
+    host_dots = [dot for dot, _ in host if dot]
+    disguised_dots = [*local_dots, *host_dots]
+    last, labels = host[-1]
+    ending = labels[0].rsplit(".", 1)[-1].lower()
+    if not host_dots and "." not in labels[0]:
+        return False
+    if at_sign[2] and (not disguised_dots or host[0][1][0].lower() in ARTICLES):
+        return False
+    if not at_sign[2] and (not last or not last[1]):
+        return True  # as the base pattern has it
+    if last and not last[1]:
+        return True
+    if ending not in ENDINGS:
+        # a sign that only addresses have, and a host without an ending so far
+        alone = len(host) == 2 and "." not in host[0][1][0] and ending.isalpha() and len(ending) > 1
+        return not at_sign[2] and alone and ending not in ARTICLES
+    if ending not in WORD_ENDINGS:
+        return True
+    local = text[start : at_sign.start()]
+    signs = not at_sign[2] or len(disguised_dots) > 1 or any(not dot[1] for dot in disguised_dots)
+    named = any(c in "._%+-" or c.isdigit() for c in local)
+    after = text[labels.end() : labels.end() + 2]
+    return signs or named or not (after[:1] == " " and after[1:].isalpha())
+
+
 def normalise(source: str) -> Normalised:
     """The three transducers, one after the other."""
     state = Normalised(source)
     state.text = source.translate(LOOKS)
     state.rewrite([(i, i + 1, "") for i, c in enumerate(state.text) if c in UNSEEN])
-    state.rewrite(
-        [
-            (*found.span(), "".join(NUMBER_WORDS[w.lower()] for w in NUMBER_WORD.findall(found[0])))
-            for found in SPELLED.finditer(state.text)
-        ]
-    )
+    state.rewrite(spelled_digits(state.text))
+    state.rewrite(address_marks(state.text))
     state.rewrite(
         [
             (*found.span(), "@" if found[1] else "." if found[2] else "+" if found[3] else "-")
             for found in BRACKETED.finditer(state.text)
         ]
     )
-    edits = []
-    for found in BARE.finditer(state.text):
-        edits.append((*found.span(1), "@"))
-        edits += [(*dot.span(), ".") for dot in WORD_DOT.finditer(state.text, *found.span())]
-    state.rewrite(edits)
-    # "name@host dot com": the dot of an address whose at sign was disguised otherwise or not at all
-    edits = []
-    for found in re.finditer("@[A-Za-z0-9.-]{1,253}( dot [A-Za-z0-9-]{1,63})+", state.text, re.I):
-        edits += [(*dot.span(), ".") for dot in WORD_DOT.finditer(state.text, *found.span())]
-    state.rewrite(edits)
     return state
 
 

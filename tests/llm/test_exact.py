@@ -281,6 +281,52 @@ def test_wider_spans_stand_beside_base_spans(text):
     assert pii.masked("to " + text + ", soon", spans) == "to <EMAIL>, soon"
 
 
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("john at example [dot] com", "email"),
+        ("john [at] example dot com", "email"),
+        ("jane dot doe at example dot com", "email"),
+        ("jane dot m dot doe at example.com", "email"),
+        ("jane dot doe@example.com", "email"),
+        ("jane (dot) doe at mail dot example dot co dot uk", "email"),
+        ("john at example dot tv", "email"),
+        ("john at example dot xyz", "email"),
+        ("john at example dot us", "email"),
+        ("jane dot doe at example dot it", "email"),
+        ("john99 at example dot in", "email"),
+        ("john at mail dot example dot me", "email"),
+        ("+1 (five five five) one two three - four five six seven", "phone"),
+        ("plus one five five five one two three four five six seven", "phone"),
+        ("+1 (five five five) 123-four five six seven", "phone"),
+        ("four five three two-0151-one two eight three-0366", "card"),
+    ],
+)
+def test_mixed_disguises(text, kind):
+    text = f"see {text}; thanks"
+    assert (kind, 4, len(text) - 8) in pii.all_spans(text)[1]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "look at the dot in the middle",
+        "look at the dot com bubble",
+        "they stare at red dot in the sky",
+        "one or two (three) of them in 2019, and 5 at home",
+        "a dot at home and a dot at work",
+        "plus one two three of these",
+    ],
+)
+def test_running_text_stays(text):
+    assert pii.all_spans(text) == ([], [])
+
+
+def test_disguises_are_linear():
+    for piece in ("a dot ", "a at ", "one ", "1 (", "a at b dot c ", "a [dot] ", "@ dot "):
+        pii.all_spans(piece * 50_000)
+
+
 def test_long_runs_are_linear():
     assert pii.base_spans("a" * 300_000 + " " + "1" * 300_000 + "." * 1000 + "+1" + "(" * 100_000) == []
 
