@@ -40,7 +40,7 @@ from ontide.llm.common import batch_of, lower_words, map_rows, parts, raw
 from ontide.session import stage
 
 SHINGLE = 3
-CLASS_GROWTH = 1.25
+LEAST_GROWTH = 1.25
 
 
 @dataclass(frozen=True)
@@ -91,12 +91,14 @@ class Parts:
 
     def __init__(self, percent: int):
         self.percent = percent
+        # sets that link lie in one class of lengths or in two that follow each other
+        self.growth = max(LEAST_GROWTH, 100 / percent)
         self.bounds = [1]
 
     def _class_of(self, n: int) -> int:
         while self.bounds[-1] <= n:
             last = self.bounds[-1]
-            self.bounds.append(max(last + 1, int(last * CLASS_GROWTH)))
+            self.bounds.append(max(last + 1, int(last * self.growth)))
         return int(np.searchsorted(self.bounds, n, "right")) - 1
 
     def shape(self, number: int) -> tuple[int, int]:

@@ -433,6 +433,18 @@ def test_parts_miss_no_link():
                 assert set(cutter.keys(values)) & set(cutter.keys(other))
 
 
+@pytest.mark.parametrize("percent", [30, 50, 66, 79, 80, 90])
+def test_parts_meet_at_any_percent(percent):
+    rng = np.random.default_rng(9)
+    cutter = prefix_tree_join.Parts(percent)
+    for n in [*range(1, 60), 200, 1000]:
+        longest = 100 * n // percent
+        for size in {longest, (n + longest) // 2}:
+            other = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
+            values = np.sort(rng.permutation(other)[:n])
+            assert set(cutter.keys(values)) & set(cutter.keys(other)), (n, size)
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
     found = {r["node"]: r["root"] for r in prefix_tree_join.components(edges).collect()}
