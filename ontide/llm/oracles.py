@@ -140,10 +140,83 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN reach ON reach.a
 GROUP BY d.doc_id, n
 """
 
+OP11 = f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, {item_words("coalesce(text, '')")} AS w FROM documents),
+sizes AS (SELECT rid, doc_id, len(w) AS n FROM docs WHERE len(w) > 0),
+totals AS (SELECT count(*) AS documents, sum(n)::BIGINT AS terms FROM sizes),
+tfs AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM docs) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(documents) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM tfs, totals GROUP BY term),
+items AS (SELECT DISTINCT item_id, unnest({item_words("coalesce(text, '')")}) AS term FROM benchmark),
+impacts AS (
+  SELECT rid, term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * documents) // terms)) AS impact
+  FROM tfs JOIN sizes USING (rid), totals),
+scored AS (
+  SELECT item_id, rid, CAST(sum(w * impact) AS BIGINT) AS score
+  FROM items JOIN weights USING (term) JOIN impacts USING (term) GROUP BY item_id, rid),
+ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+    doc_id, score
+  FROM scored JOIN sizes USING (rid) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+# SQL has no CRC-32: its table of 256 remainders by the rule, then a byte at a time.
+OP12 = f"""
+WITH RECURSIVE remainders AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), {LETTERS}) AS run
+    FROM documents)
+  WHERE length(run) >= 6 GROUP BY ALL),
+coded AS (
+  SELECT run, n, flatten(list_transform(
+    list_transform(regexp_extract_all(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, '.'),
+      lambda x: CAST(unicode(x) AS BIGINT)),
+    lambda c: CASE WHEN c < 128 THEN [c] ELSE [192 + (c >> 6), 128 + (c & 63)] END)) AS bytes
+  FROM runs),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, bytes),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM coded, remainders),
+slipped AS (
+  SELECT n, CASE WHEN h % 199 = 0
+    THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+  FROM hashed),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= 6
+  GROUP BY word HAVING sum(n) >= 5),
+cuts AS (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM words, unnest(range(1, length(word) + 1)) AS s(i)),
+near AS (
+  SELECT a.word AS word, b.word AS other FROM cuts a JOIN cuts b USING (i, rest) WHERE a.word <> b.word
+  UNION SELECT a.word, b.word FROM cuts a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word FROM cuts a JOIN words b ON a.rest = b.word),
+best AS (
+  SELECT near.word, count(*) OVER (PARTITION BY near.word) AS n_near, other, words.n AS other_n,
+    row_number() OVER (PARTITION BY near.word ORDER BY words.n DESC, other) AS place
+  FROM near JOIN words ON other = words.word),
+formed AS (
+  SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * n THEN other END AS form,
+    CASE WHEN other_n >= 5 * n THEN other_n END AS form_n
+  FROM words LEFT JOIN best ON best.word = words.word AND place = 1),
+follow AS (
+  SELECT word, word AS reached FROM formed
+  UNION ALL SELECT follow.word, form FROM follow JOIN formed ON formed.word = reached WHERE form IS NOT NULL)
+SELECT formed.word, formed.form, reached AS root, formed.n, CAST(formed.n_near AS BIGINT) AS n_near, formed.form_n
+FROM formed JOIN follow ON follow.word = formed.word JOIN formed ends ON ends.word = reached AND ends.form IS NULL
+"""
+
 ORACLES = {
     "op1_quality_rules": OP1,
     "op3_decontaminate": OP3,
     "op5_warc": OP5,
     "op7_license_scan": OP7,
     "op9_jaccard_join": OP9,
+    "op11_lexical_search": OP11,
+    "op12_spelling_variants": OP12,
 }

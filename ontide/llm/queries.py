@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from ontide.llm import bpe, decontaminate, license_scan, pii, piece_counts
-from ontide.llm import prefix_tree_join, quality_rules, suffix_repeats, suffix_tree_lm, warc
+from ontide.llm import bpe, decontaminate, language_profiles, lexical_search, license_scan, pii
+from ontide.llm import piece_counts, prefix_tree_join, quality_rules, spelling_variants
+from ontide.llm import suffix_repeats, suffix_tree_lm, warc
 from ontide.llm.common import table
 from ontide.llm.oracles import ORACLES
 
@@ -70,6 +71,20 @@ def op10_suffix_tree(spark, sf_dir):
     return suffix_tree_lm.score_documents(table(spark, sf_dir, "documents"), params)
 
 
+def op11_lexical_search(spark, sf_dir):
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return lexical_search.ranked_documents(docs, items)
+
+
+def op12_spelling_variants(spark, sf_dir):
+    words = spelling_variants.count_words(table(spark, sf_dir, "documents"), slip_one_in=199)
+    return spelling_variants.spelling_groups(words)
+
+
+def op13_language_profiles(spark, sf_dir):
+    return language_profiles.identify_languages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -83,6 +98,9 @@ QUERIES = {
         op8_bpe,
         op9_jaccard_join,
         op10_suffix_tree,
+        op11_lexical_search,
+        op12_spelling_variants,
+        op13_language_profiles,
     )
 }
 
