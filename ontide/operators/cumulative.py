@@ -1,72 +1,69 @@
-"""Running totals over a large ordered table.
+"""Running totals over a large ordered table, by a scan of two levels.
 
-A window without partitions would move every row to one task. The rows are cut into
-ordered buckets at sampled edges; each bucket is summed on its own and starts from the
-total of the buckets before it. The number of buckets is fixed, so only the table of
-bucket totals is ordered in one task.
+A window without partitions would move every row to one task. The rows are dealt into ordered ranges
+instead, as many as the rows need; each range is summed on its own and starts from the total of
+the ranges before it. Only the ranges' totals, one row each, are ordered in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+from ontide.session import stage
 
+ROWS_PER_RANGE = 250_000
 
-def bucket_edges(df: DataFrame, column: str, buckets: int) -> list[float]:
-    """Approximate quantiles as inner bucket edges; they balance work, not results."""
-    cuts = [i / buckets for i in range(1, buckets)]
-    found = df.approxQuantile(column, cuts, 1.0 / (2 * buckets)) if cuts else []
-    return sorted(set(found))
+
+def ordered_ranges(df: DataFrame, order_by: Sequence[str], ranges: int) -> DataFrame:
+    """The rows stored in ordered ranges, with the range's number in `part`.
+
+    Stored, because the ranges' edges are sampled and each pass must see the same ones.
+    """
+    if ranges == 1:
+        return df.withColumn("part", F.lit(0))
+    dealt = df.repartitionByRange(ranges, *order_by)
+    return stage(dealt.withColumn("part", F.spark_partition_id()))
 
 
 def running_totals(
     df: DataFrame,
-    order_by: str,
+    order_by: str | Sequence[str],
     measures: Sequence[str],
     descending: bool = False,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
     following: bool = False,
+    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
-    """Add `upto_<measure>`, the inclusive running sum in the order of a unique column.
+    """Add `upto_<measure>`, the inclusive running sum in the order of columns that are unique together.
 
-    `following` also adds `next_<measure>`, the value of the next row in that order.
-    `df` must give the same rows on every pass.
+    `following` also adds `next_<measure>`, the value of the next row in that order. The number
+    of ranges follows the rows, unless `buckets` gives it. `df` must give the same rows on every pass.
     """
-    edges = bucket_edges(df, order_by, buckets)
-    if edges:
-        cutter = Bucketizer(
-            splits=[float("-inf"), *edges, float("inf")],
-            inputCol=order_by,
-            outputCol="bucket",
-            handleInvalid="error",
-        )
-        cut = cutter.transform(df).withColumn("bucket", F.col("bucket").cast("int"))
-    else:
-        cut = df.withColumn("bucket", F.lit(0))
+    order = [order_by] if isinstance(order_by, str) else list(order_by)
+    ranges = buckets or max(1, -(-df.count() // rows_per_range))
+    cut = ordered_ranges(df, order, ranges)
     if descending:
-        cut = cut.withColumn("bucket", -F.col("bucket"))
-    key = F.col(order_by).desc() if descending else F.col(order_by).asc()
+        cut = cut.withColumn("part", -F.col("part"))
+    keys = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
     first = F.max_by if descending else F.min_by
-    totals = cut.groupBy("bucket").agg(
+    totals = cut.groupBy("part").agg(
         *[F.sum(m).alias(f"sum_{m}") for m in measures],
-        *[first(F.col(m), F.col(order_by)).alias(f"first_{m}") for m in measures],
+        *[first(F.col(m), F.struct(*order)).alias(f"first_{m}") for m in measures],
     )
-    # At most `buckets` rows.
-    in_order = Window.orderBy("bucket")
+    # One row per range.
+    in_order = Window.orderBy("part")
     before = in_order.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "bucket",
+        "part",
         *[F.coalesce(F.sum(f"sum_{m}").over(before), F.lit(0)).alias(f"offset_{m}") for m in measures],
         *[F.lead(f"first_{m}").over(in_order).alias(f"after_{m}") for m in measures],
     )
-    inside = Window.partitionBy("bucket").orderBy(key)
+    inside = Window.partitionBy("part").orderBy(*keys)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    result = cut.join(F.broadcast(offsets), "bucket")
+    result = cut.join(F.broadcast(offsets), "part")
     added = {f"upto_{m}": F.col(f"offset_{m}") + F.sum(m).over(upto) for m in measures}
     if following:
         for m in measures:

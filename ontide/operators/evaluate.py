@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontide.functions.aggregates import count_where
-from ontide.operators.cumulative import BUCKETS, running_totals
+from ontide.operators.cumulative import running_totals
 from ontide.session import stage
 
 F1_EPSILON = 1e-9  # Fixed value: keeps the F1 of an empty prediction at zero.
@@ -68,7 +68,7 @@ def _with_class_totals(curve: DataFrame, histogram: DataFrame) -> DataFrame:
 
 
 def threshold_curve(
-    scored: DataFrame, label: str = "label", score: str = "score", buckets: int = BUCKETS
+    scored: DataFrame, label: str = "label", score: str = "score", buckets: int | None = None
 ) -> DataFrame:
     """Counts and rates when flagging `score >= threshold`, one row per distinct score."""
     histogram = score_histogram(scored, label, score)
@@ -122,7 +122,7 @@ def roc_curve(scored: DataFrame, drop_intermediate: bool = True, **options) -> D
     return curve.select("threshold", "fpr", "tpr").unionByName(start)
 
 
-def roc_auc(scored: DataFrame, label: str = "label", score: str = "score", buckets: int = BUCKETS) -> DataFrame:
+def roc_auc(scored: DataFrame, label: str = "label", score: str = "score", buckets: int | None = None) -> DataFrame:
     """Probability that a late row scores above an on-time row, ties counted half.
 
     Null when only one class is present.

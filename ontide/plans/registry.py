@@ -661,6 +661,12 @@ def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
     return train.feature_importance(spark, run.model.trees, run.model.preprocessor.features)
 
 
+@query
+def feature_gain(spark: SparkSession, folder: str) -> DataFrame:
+    run = training_run(spark, folder)
+    return rounded(train.feature_gain(spark, run.model.trees, run.model.preprocessor.features))
+
+
 @query
 def model_deltas(spark: SparkSession, folder: str) -> DataFrame:
     return train.model_deltas(spark, training_run(spark, folder))

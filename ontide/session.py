@@ -56,6 +56,14 @@ def shared_dir(spark: SparkSession) -> str:
 _SCOPES: list[list[str]] = []
 
 
+def staged_path(spark: SparkSession) -> str:
+    """A new path in the application's staging folder; an open `stage_scope` removes it."""
+    path = f"{shared_dir(spark)}/ontide-stage/{spark.sparkContext.applicationId}/{uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
@@ -66,11 +74,8 @@ def stage(df: DataFrame) -> DataFrame:
     the application has ended; inside a `stage_scope` they go when it closes.
     """
     spark = df.sparkSession
-    application = spark.sparkContext.applicationId
-    path = f"{shared_dir(spark)}/ontide-stage/{application}/{uuid4().hex}"
+    path = staged_path(spark)
     df.write.parquet(path)
-    if _SCOPES:
-        _SCOPES[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
