@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontide.functions.columns import nan_to_null
+from ontide.sources.multiline import read_multiline_csv
 from ontide.sources.schemas import TABLES, TableSpec
 
 
@@ -61,18 +62,12 @@ def load_table(
         return typed_table(spark.read.parquet(path or f"{root}/{name}.parquet"), spec)
     if fmt != "csv":
         raise ValueError(f"unknown format {fmt!r}; use csv, parquet or table")
-    raw = spark.read.csv(
-        path or f"{root}/{spec.pattern}",
-        header=True,
-        inferSchema=False,
-        multiLine=spec.multiline,
-        escape='"',
-        encoding="UTF-8",
-    )
-    typed = typed_table(raw, spec)
-    # One task parses a multi-line file, so large inputs should come as many files, or as
-    # parquet. What it read is dealt out by size, whatever the keys.
-    return typed.hint("rebalance") if spec.multiline else typed
+    source = path or f"{root}/{spec.pattern}"
+    if spec.multiline:
+        # dealt out by range and record, whatever the keys
+        return typed_table(read_multiline_csv(spark, source), spec)
+    raw = spark.read.csv(source, header=True, inferSchema=False, escape='"', encoding="UTF-8")
+    return typed_table(raw, spec)
 
 
 def load_all_tables(
