@@ -10,9 +10,12 @@ How it is dealt out. In every 400-byte window the 24-byte string with the smalle
 of equals) is the window's anchor. It depends on the window's bytes alone, so equal windows have equal anchors
 at equal offsets. An anchor owns a run of windows, about 190; its context is their bytes. Only anchors
 whose hash occurs twice or more keep their contexts, and a bucket is the suffixes of one hash: it
-finds every repeated window that its anchors own. A hash of more than `chunk` occurrences is dealt
-into chunks. Each chunk is searched alike; then windows that stay single in their chunk, and one
-of each group, are compared across chunks by 128-bit digests, which are counted before the shuffle.
+finds every repeated window that its anchors own. A hash of more than `chunk` occurrences is hot. Its
+equal contexts become one class first, combined before the shuffle. Then its classes are dealt by the bytes that
+equal windows must share: windows that start `low` to `high` bytes before the anchor agree in the `low`
+bytes left and the `length - high` bytes right of its start. Two halves of the offsets make two
+rows a class; a bucket that is still large is halved again, down to one offset, where it is one repeated
+window. So every bucket that is searched is small, and rows grow with the classes, not with their pairs.
 
 Equal texts are one class from the start: of 400 bytes or more they are removed whole, and one of them
 is searched for the others' sake. A document's own equal contexts are matched on the spot.
@@ -182,11 +185,12 @@ def anchor_rows(keyed: DataFrame, length: int) -> DataFrame:
     return keyed.select("text_key", "text").mapInArrow(run, ANCHORS)
 
 
-CONTEXTS = "hash bigint, chunk int, text_key binary, place bigint, lead bigint, context binary, stop bigint"
+CONTEXTS = "hash bigint, mark binary, text_key binary, place bigint, lead bigint, context binary, stop bigint"
 
 
 def context_rows(texts: DataFrame, length: int) -> DataFrame:
-    """Contexts of shared anchors (column anchors of `texts`). Rows without context are finished runs from `place` to `stop`."""
+    """Contexts of shared anchors (column anchors of `texts`), with the digest of each. Rows without context
+    are finished runs from `place` to `stop`."""
 
     def process():
         def rows(batch):
@@ -196,9 +200,10 @@ def context_rows(texts: DataFrame, length: int) -> DataFrame:
                 for anchor in listed:
                     first, last = anchor["first"], anchor["last"] + length
                     lead = anchor["place"] - first
-                    own[anchor["hash"], anchor["chunk"], lead, data[first:last]].append(first)
-                for (number, chunk, lead, context), firsts in own.items():
-                    yield number, chunk, key, firsts[0] + lead, lead, context, None
+                    own[anchor["hash"], lead, data[first:last]].append(first)
+                for (number, lead, context), firsts in own.items():
+                    mark = hashlib.blake2b(b"%d:%d:" % (number, lead) + context, digest_size=16).digest()
+                    yield number, mark, key, firsts[0] + lead, lead, context, None
                     if len(firsts) > 1:
                         for first in firsts:
                             yield None, None, key, first, None, None, first + len(context)
@@ -208,56 +213,130 @@ def context_rows(texts: DataFrame, length: int) -> DataFrame:
     return map_rows(texts.select("text_key", "text", "anchors"), process, CONTEXTS)
 
 
-FOUND = "text_key binary, start bigint, stop bigint, mark binary, repeated boolean"
+RUNS = "text_key binary, start bigint, stop bigint"
 
 
 def bucket_repeats(contexts: DataFrame, length: int) -> DataFrame:
-    """Runs (start, stop) of repeated bytes. Rows with a `mark` are windows of chunked hashes instead."""
-    fields = parts(FOUND)
-
-    def finished(chunk, members):
-        mark_repeats(members, length)
-        for m in members:
-            if m.before + m.after:
-                yield m.text_key, m.place - m.before, m.place + m.after, None, None
-        if chunk is None or chunk < 0:
-            return
-        # the hash has other chunks: each distinct window once, with whether it repeats here
-        windows: dict[bytes, list] = {}
-        for m in members:
-            data, start = m.left[::-1] + m.right, m.place - len(m.left)
-            for i in range(len(data) - length + 1):
-                mark = hashlib.blake2b(data[i : i + length], digest_size=16).digest()
-                seen = windows.get(mark)
-                if seen is None:
-                    windows[mark] = [m.text_key, start + i, False]
-                else:
-                    seen[2] = True
-        for mark, (key, start, repeated) in windows.items():
-            yield key, start, start + length, mark, repeated
+    """Runs (start, stop) of bytes that repeat among the contexts of a hash."""
+    fields = parts(RUNS)
 
     def run(batches):
         current, members = None, []
+
+        def finished():
+            if len(members) > 1:
+                mark_repeats(members, length)
+            for m in members:
+                if m.before + m.after:
+                    yield m.text_key, m.place - m.before, m.place + m.after
+
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(7)]
+            columns = [batch.column(i).to_pylist() for i in range(6)]
             out = []
-            for number, chunk, key, place, lead, context, stop in zip(*columns):
+            for number, key, place, lead, context, stop in zip(*columns):
                 if context is None:
-                    out.append((key, place, stop, None, None))
+                    out.append((key, place, stop))
                     continue
-                if (number, chunk) != current:
-                    if members and (len(members) > 1 or current[1] >= 0):
-                        out += finished(current[1], members)
-                    current, members = (number, chunk), []
+                if number != current:
+                    out += finished()
+                    current, members = number, []
                 members.append(Occurrence(key, place, context[lead:], context[:lead][::-1]))
             yield batch_of(out, fields)
-        if members and (len(members) > 1 or current[1] >= 0):
-            yield batch_of(list(finished(current[1], members)), fields)
+        yield batch_of(list(finished()), fields)
 
     # finished runs have no hash; they are dealt by their text
     salt = F.when(F.col("context").isNull(), F.xxhash64("text_key", "place"))
-    dealt = contexts.repartition("hash", "chunk", salt).sortWithinPartitions("hash", "chunk")
-    return dealt.mapInArrow(run, FOUND)
+    rows = contexts.select("hash", "text_key", "place", "lead", "context", "stop")
+    return rows.repartition("hash", salt).sortWithinPartitions("hash").mapInArrow(run, RUNS)
+
+
+SHARED = "mark binary, low bigint, high bigint, key binary, lead bigint, context binary"
+
+
+def shared_rows(classes: DataFrame, length: int) -> DataFrame:
+    """The two halves of each (low, high), with the digest of what windows in it share; a half that the context
+    is too short for has none."""
+
+    def process():
+        def rows(batch):
+            columns = [batch.column(i).to_pylist() for i in range(5)]
+            for mark, lead, context, low, high in zip(*columns):
+                middle = (low + high) // 2
+                for a, b in ((low, middle), (middle + 1, high)):
+                    if a <= lead and length - b <= len(context) - lead and a <= b:
+                        outside = context[lead - a : lead + length - b]
+                        head = b"%d:%d:" % (a, b)
+                        yield mark, a, b, hashlib.blake2b(head + outside, digest_size=16).digest(), lead, context
+
+        return rows
+
+    return map_rows(classes.select("mark", "lead", "context", "low", "high"), process, SHARED)
+
+
+EXTENTS = "mark binary, before bigint, after bigint"
+
+
+def class_extents(shared: DataFrame, length: int) -> DataFrame:
+    """How far repeats reach around the anchor of each class, from the buckets of one key."""
+    fields = parts(EXTENTS)
+
+    def run(batches):
+        current, members = None, []
+
+        def finished():
+            mark_repeats(members, length)
+            return [(m.text_key, m.before, m.after) for m in members if m.before + m.after]
+
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(4)]
+            out = []
+            for mark, key, lead, context in zip(*columns):
+                if key != current:
+                    if len(members) > 1:
+                        out += finished()
+                    current, members = key, []
+                members.append(Occurrence(mark, lead, context[lead:], context[:lead][::-1]))
+            yield batch_of(out, fields)
+        if len(members) > 1:
+            yield batch_of(finished(), fields)
+
+    rows = shared.select("mark", "key", "lead", "context").repartition("key")
+    return rows.sortWithinPartitions("key").mapInArrow(run, EXTENTS)
+
+
+def hot_repeats(contexts: DataFrame, params: RepeatParams) -> DataFrame:
+    """Runs of bytes that repeat among the contexts of hot hashes."""
+    length = params.length
+    contexts = stage(contexts)
+    finished = contexts.filter("context is null").select("text_key", F.col("place").alias("start"), "stop")
+    members = contexts.filter("context is not null")
+    # the lead is part of the mark
+    classes = stage(
+        members.groupBy("mark").agg(
+            F.count("*").alias("n"), F.first("lead").alias("lead"), F.first("context").alias("context")
+        )
+    )
+    # equal contexts repeat whole
+    size = F.length("context").cast("bigint")
+    extents = classes.filter("n > 1").select("mark", F.col("lead").alias("before"), (size - F.col("lead")).alias("after"))
+    rows = classes.select("mark", "lead", "context", F.lit(0).alias("low"), F.lit(length).alias("high"))
+    while True:
+        shared = stage(shared_rows(rows, length))
+        counts = stage(shared.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+        several = shared.join(counts, "key")
+        fits = several.filter(F.col("n") <= params.chunk)
+        extents = extents.unionByName(stage(class_extents(fits, length)))
+        large = several.filter(F.col("n") > params.chunk)
+        # one offset: what they share is a whole window
+        single = large.filter("low = high").select("mark", F.col("low").alias("before"), (length - F.col("low")).alias("after"))
+        extents = extents.unionByName(single)
+        rows = large.filter("low < high")
+        if counts.filter(F.col("n") > params.chunk).isEmpty():
+            break
+    reach = extents.groupBy("mark").agg(F.max("before").alias("before"), F.max("after").alias("after"))
+    found = members.select("mark", "text_key", "place").join(stage(reach), "mark")
+    start, stop = F.col("place") - F.col("before"), F.col("place") + F.col("after")
+    return finished.unionByName(found.select("text_key", start.alias("start"), stop.alias("stop")))
 
 
 def repeated_runs(docs: DataFrame, params: RepeatParams, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -268,22 +347,24 @@ def repeated_runs(docs: DataFrame, params: RepeatParams, text_col: str) -> tuple
     found = stage(anchor_rows(keyed, params.length).distinct())
     # stored, so that the join below reads plain exchanges, and a hot hash is split there
     counts = stage(found.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1"))
-    chunks = F.ceil(F.col("n") / params.chunk)
-    chunk = F.when(chunks > 1, F.pmod(F.xxhash64("text_key", "place"), chunks)).otherwise(-1)
-    shared = found.join(counts, "hash").select(
-        "text_key", F.struct("hash", chunk.cast("int").alias("chunk"), "place", "first", "last").alias("anchor")
-    )
+    anchor, hot = F.struct("hash", "place", "first", "last"), F.col("n") > params.chunk
     # a text's own anchors: one in some 190 bytes
-    by_text = stage(shared.groupBy("text_key").agg(F.collect_list("anchor").alias("anchors")))
+    by_text = stage(
+        found.join(counts, "hash").groupBy("text_key").agg(
+            F.collect_list(F.when(~hot, anchor)).alias("anchors"), F.collect_list(F.when(hot, anchor)).alias("hot")
+        )
+    )
     first = keyed.join(by_text.select("text_key"), "text_key").groupBy("text_key")
     texts = stage(first.agg(F.first("text").alias("text")))
-    contexts = context_rows(texts.join(by_text, "text_key"), params.length)
-    rows = stage(bucket_repeats(contexts, params.length))
-    runs = rows.filter("mark is null").select("text_key", "start", "stop")
-    marks = rows.filter("mark is not null")
-    several = marks.groupBy("mark").agg(F.count("*").alias("n"), F.max("repeated").alias("some"))
-    across = marks.join(several.filter("n > 1 or some").select("mark"), "mark")
-    return runs.unionByName(across.select("text_key", "start", "stop")), texts
+
+    def contexts(kind):
+        listed = by_text.select("text_key", F.col(kind).alias("anchors")).filter(F.size("anchors") > 0)
+        return context_rows(texts.join(listed, "text_key"), params.length)
+
+    runs = stage(bucket_repeats(contexts("anchors"), params.length))
+    if not counts.filter(hot).isEmpty():
+        runs = runs.unionByName(hot_repeats(contexts("hot"), params))
+    return runs, texts
 
 
 def remove_repeats(
@@ -323,9 +404,15 @@ def remove_repeats(
         F.sha2(body, 256).alias("sha"),
         *([body.alias("body")] if with_kept else []),
     )
-    copies = rows.groupBy("text_key").agg(F.count("*").alias("copies"))
-    copied = copies.filter((F.col("copies") > 1) & F.col("text_key").isNotNull())
-    all_rows = rows.join(copied, "text_key", "left").join(cut, "text_key", "left")
+    # copies are settled by their number alone, so only texts without one meet their cuts; null texts meet nothing
+    known = docs.filter(docs[text_col].isNotNull()).select(F.unhex(F.md5(docs[text_col])).alias("text_key"))
+    copies = known.groupBy("text_key").agg(F.count("*").alias("copies"))
+    copied = stage(copies.filter("copies > 1"))
+    marked = rows.filter("text_key is not null").join(copied, "text_key", "left")
+    alone = marked.filter("copies is null").join(cut, "text_key", "left")
+    none = [F.lit(None).cast(dict(cut.dtypes)[c]).alias(c) for c in cut.columns if c != "text_key"]
+    nulls = rows.filter("text_key is null").withColumn("copies", F.lit(None).cast("bigint"))
+    all_rows = alone.unionByName(marked.filter("copies > 1").unionByName(nulls).select("*", *none))
     whole = F.col("copies").isNotNull() & (F.col("n_bytes") >= params.length)
     empty = F.sha2(F.lit("").cast("binary"), 256)
     out = all_rows.select(

@@ -92,6 +92,27 @@ def test_repeats_match_brute_force(spark, chunk):
     assert [tuple(map(lambda x: bytes(x) if isinstance(x, bytearray) else x, found[i])) for i in range(len(texts))] == wanted
 
 
+@pytest.mark.parametrize("chunk", [256, 3])
+def test_passage_in_many_texts_matches_brute_force(spark, chunk):
+    """A hot hash: one passage, cut at both ends, in 2,000 texts, some of them equal around it."""
+    rng = random.Random(6)
+    letters = "abcdefgh é"
+
+    def some(n):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    passage, sides = some(440), [some(60) for _ in range(4)]
+    texts = []
+    for i in range(2000 if chunk > 100 else 60):
+        left = rng.choice(sides)[rng.randrange(60) :] if i % 3 else some(rng.randrange(60))
+        right = rng.choice(sides)[: rng.randrange(60)] if i % 4 else some(rng.randrange(60))
+        texts.append(left + passage[rng.choice([0, 0, 0, 17, 39]) : rng.choice([440, 440, 425])] + right)
+    params = suffix_repeats.RepeatParams(chunk=chunk)
+    rows = suffix_repeats.remove_repeats(documents(spark, texts), params).collect()
+    wanted = [row[:4] for row in brute_repeats([t.encode() for t in texts], 400)]
+    assert [tuple(r)[1:] for r in sorted(rows, key=lambda r: r["doc_id"])] == wanted
+
+
 def test_prefix_intervals():
     found = set(suffix_repeats.prefix_intervals([2, 3, 1, 4]))
     assert found == {(3, 1, 2), (2, 0, 2), (4, 3, 4), (1, 0, 4)}
