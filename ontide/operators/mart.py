@@ -154,8 +154,8 @@ def _enrich(items: DataFrame, lookups: dict[str, Lookup]) -> DataFrame:
     return lookup_join(with_products, lookups["sellers"].extended(places), "seller_id")
 
 
-def item_measures(enriched: DataFrame) -> DataFrame:
-    """All item features per order, in one aggregate that combines before the shuffle.
+def item_aggregates() -> dict[str, Column]:
+    """All item features of a group of enriched items.
 
     The distinct counts are sizes of sets. A set holds the products of one order, and a task
     has what it holds of it already reduced before the shuffle.
@@ -164,21 +164,40 @@ def item_measures(enriched: DataFrame) -> DataFrame:
     def distinct(column: str) -> Column:
         return F.size(F.collect_set(column)).cast("bigint")
 
-    return enriched.groupBy("order_id").agg(
-        money_sum("price").alias("total_price"),
-        money_sum("freight_value").alias("total_freight"),
-        F.count("order_item_id").alias("item_count"),
-        distinct("product_id").alias("product_count"),
-        distinct("seller_id").alias("seller_count"),
-        F.avg("product_weight_g").alias("avg_product_weight_g"),
-        F.avg("product_length_cm").alias("avg_product_length_cm"),
-        F.avg("product_height_cm").alias("avg_product_height_cm"),
-        F.avg("product_width_cm").alias("avg_product_width_cm"),
-        F.avg("product_volume_cm3").alias("avg_product_volume_cm3"),
-        most_common("product_category_name_english").alias("main_product_category"),
-        most_common("seller_state").alias("main_seller_state"),
-        most_common("seller_city").alias("main_seller_city"),
-    )
+    return {
+        "total_price": money_sum("price"),
+        "total_freight": money_sum("freight_value"),
+        "item_count": F.count("order_item_id"),
+        "product_count": distinct("product_id"),
+        "seller_count": distinct("seller_id"),
+        "avg_product_weight_g": F.avg("product_weight_g"),
+        "avg_product_length_cm": F.avg("product_length_cm"),
+        "avg_product_height_cm": F.avg("product_height_cm"),
+        "avg_product_width_cm": F.avg("product_width_cm"),
+        "avg_product_volume_cm3": F.avg("product_volume_cm3"),
+        "main_product_category": most_common("product_category_name_english"),
+        "main_seller_state": most_common("seller_state"),
+        "main_seller_city": most_common("seller_city"),
+    }
+
+
+def payment_aggregates() -> dict[str, Column]:
+    """All payment features of a group of payments."""
+    return {
+        "total_payment_value": money_sum("payment_value"),
+        "max_payment_installments": F.max("payment_installments"),
+        "payment_count": F.count("payment_sequential"),
+        "main_payment_type": most_common("payment_type"),
+    }
+
+
+def named(columns: dict[str, Column]) -> list[Column]:
+    return [column.alias(name) for name, column in columns.items()]
+
+
+def item_measures(enriched: DataFrame) -> DataFrame:
+    """All item features per order, in one aggregate that combines before the shuffle."""
+    return enriched.groupBy("order_id").agg(*named(item_aggregates()))
 
 
 def item_features(
@@ -193,12 +212,7 @@ def _per_order(enriched: DataFrame) -> DataFrame:
 
 
 def payment_features(payments: DataFrame) -> DataFrame:
-    return payments.groupBy("order_id").agg(
-        money_sum("payment_value").alias("total_payment_value"),
-        F.max("payment_installments").alias("max_payment_installments"),
-        F.count("payment_sequential").alias("payment_count"),
-        most_common("payment_type").alias("main_payment_type"),
-    )
+    return payments.groupBy("order_id").agg(*named(payment_aggregates()))
 
 
 def review_features(reviews: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ from ontide.sources.adapter import PORTABLE_SCORE, PORTABLE_TEST_ROWS, delivery_
 from ontide.sources.cleaning import clean_column_names, coerce_timestamps, nan_strings_to_null
 from ontide.sources.readers import table_row_counts
 from ontide.sources.sinks import load_check, load_warehouse_table, save_stage
-from ontide.streaming import jobs
+from ontide.streaming import incoming, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -802,3 +802,24 @@ def stream_late_windows(spark: SparkSession, folder: str) -> DataFrame:
     windows = jobs.late_windows(arriving)
     jobs.write_totals(windows, f"{base}/windows", f"{base}/progress").awaitTermination()
     return rounded(spark.read.schema(windows.schema).parquet(f"{base}/windows"))
+
+
+def arriving_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Raw orders, items and payments with a time of arrival: items by the hour after the purchase, payments
+    half an hour before it."""
+    tables = delivery_tables(spark, folder)
+    bought = tables["orders"].select("order_id", F.col("order_purchase_timestamp").alias("bought_at"))
+    after = F.expr("bought_at + make_dt_interval(0, order_item_id)")
+    before = F.expr("bought_at - INTERVAL 30 minutes")
+    items = tables["order_items"].join(bought, "order_id").withColumn("arrived_at", after)
+    payments = tables["payments"].join(bought, "order_id").withColumn("arrived_at", before)
+    return {**tables, "order_items": items.drop("bought_at"), "payments": payments.drop("bought_at")}
+
+
+@query
+def incoming_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw orders with the parts that came in time, as the scoring stream gathers them."""
+    tables = arriving_tables(spark, folder)
+    arrival = incoming.Arrival(early="1 hour", wait="3 hours")
+    rows = incoming.incoming_orders(tables["orders"], tables["order_items"], tables["payments"], tables, arrival)
+    return rounded(scoring.known_orders(rows))

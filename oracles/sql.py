@@ -1315,3 +1315,28 @@ add(
         GROUP BY 1, 2""",
     ORDERS,
 )
+
+# Raw orders of every status with their first three items, which arrive within the time of the query.
+_INCOMING = DERIVED.replace("FROM dl_order_items i", "FROM (SELECT * FROM dl_order_items WHERE order_item_id <= 3) i")
+_INCOMING = _INCOMING.replace(DELIVERED[DELIVERED.index("  WHERE order_status") :], ")")
+_INCOMING_COUNTS = "item_count, product_count, seller_count, payment_count"
+_INCOMING_TEXT = "main_seller_state, customer_state, main_product_category, main_payment_type, purchase_day_of_week"
+_INCOMING_DOUBLES = [
+    "delivery_days_estimated",
+    "total_price",
+    "total_freight",
+    "avg_product_weight_g",
+    "avg_product_length_cm",
+    "avg_product_height_cm",
+    "avg_product_width_cm",
+    "avg_product_volume_cm3",
+    "total_payment_value",
+    "approval_time_hours",
+]
+add(
+    "incoming_orders",
+    _INCOMING,
+    f"""SELECT order_id, {_INCOMING_COUNTS}, {_INCOMING_TEXT}, purchase_month_num, purchase_hour,
+          max_payment_installments AS installments, {', '.join(f'{r(c)} AS {c}' for c in _INCOMING_DOUBLES)}
+        FROM derived""",
+)
