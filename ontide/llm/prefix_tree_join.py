@@ -34,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, types as T, functions as F
 
 from ontide.llm.common import batch_of, lower_words, map_rows, parts, raw
 from ontide.session import stage
@@ -437,9 +437,14 @@ def merged_groups(groups: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def link_documents(
-    docs: DataFrame, params: JoinParams = JoinParams(), id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    params: JoinParams = JoinParams(),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    with_heads: bool = False,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id per row of `docs`."""
+    """doc_id, n_shingles, component_id per row of `docs`; `with_heads` adds the digest of the row's text and that
+    of its component's first row, by id and digest, as an id may stand before several texts."""
     signed = stage(signatures(docs, params, id_col, text_col))
     usable = signed.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
@@ -482,31 +487,52 @@ def link_documents(
     if not edges.isEmpty():
         groups = merged_groups(groups, components(edges))
 
+    head = F.struct("rep", "text_key")
     grouped = classes.join(groups, "cid", "left").select(
-        "digest", "rep", F.coalesce("label", "cid").alias("label")
+        "digest", "rep", *(["text_key"] if with_heads else []), F.coalesce("label", "cid").alias("label")
+    )
+    first = F.min(head) if with_heads else F.struct(F.min("rep").alias("rep"))
+    smallest = grouped.groupBy("label").agg(first.alias("head"))
+    named_classes = grouped.join(smallest, "label").select(
+        "digest",
+        F.col("head.rep").alias("component_id"),
+        *([F.col("head.text_key").alias("head_key")] if with_heads else []),
     )
-    smallest = grouped.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named_classes = grouped.join(smallest, "label").select("digest", "component_id")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return signed.select("doc_id", "n", "digest").join(named_classes, "digest", "left").select(
+    keys = ["text_key", "head_key"] if with_heads else []
+    return signed.select("doc_id", "n", "digest", *keys[:1]).join(named_classes, "digest", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
+        *keys,
     )
 
 
+def orderable(data_type: T.DataType) -> bool:
+    return not any(kind in data_type.simpleString() for kind in ("map<", "variant"))
+
+
 def one_per_component(
     docs: DataFrame, params: JoinParams = JoinParams(), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The rows of `docs` whose id is their component's smallest, all columns.
+    """The first row of each component by id and text, all columns.
 
-    Rows that repeat an id are one document, of which the smallest row stays. Rows with a
-    null id link with nothing and all stay.
+    A row goes only for another one that it equals in id and text or is linked with: rows that share an
+    id but not their text are two documents. Of rows with equal id and text the smallest stays, by the
+    columns that have an order. Rows without shingles link with nothing; rows with a null id all stay.
     """
-    links = link_documents(docs, params, id_col, text_col)
-    heads = links.filter(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias(id_col))
-    kept = docs.join(heads.distinct(), id_col, "left_semi")
-    rest = [c for c in docs.columns if c != id_col]
-    order = F.struct(*(F.col(c) for c in rest))
-    single = kept.groupBy(id_col).agg(F.min(order).alias("row")).select(id_col, "row.*")
+    links = link_documents(docs, params, id_col, text_col, with_heads=True)
+    none = F.lit(b"")
+    own = F.coalesce(F.col("text_key"), none)
+    is_head = (F.col("component_id") == F.col("doc_id")) & (own == F.coalesce(F.col("head_key"), none))
+    heads = links.filter(is_head | (F.col("n_shingles") == 0)).select(
+        F.col("doc_id").alias("head_id"), own.alias("head_text")
+    )
+    text_key = F.coalesce(F.unhex(F.md5(docs[text_col])), none)
+    rows = docs.filter(docs[id_col].isNotNull()).select(
+        docs[id_col].cast("bigint").alias("head_id"), text_key.alias("head_text"), F.struct(*docs.columns).alias("row")
+    )
+    kept = rows.join(heads.distinct(), ["head_id", "head_text"], "left_semi")
+    order = F.struct(*(F.col(f"row.`{f.name}`") for f in docs.schema if orderable(f.dataType)))
+    single = kept.groupBy("head_id", "head_text").agg(F.min_by("row", order).alias("row")).select("row.*")
     return single.select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))

@@ -140,3 +140,22 @@ def test_stage_edges(spark, small, number):
     else:
         assert len(ids) == len(ROWS)
     assert stage(spark, docs.limit(0), small).collect() == []
+
+
+def test_repeated_ids_with_other_texts_stay(spark):
+    """A row goes only for one that it equals or is linked with."""
+    a, b, c = (" ".join(f"{letter}{i}" for i in range(40)) for letter in "abc")
+    near = a + " more"
+    rows = [(1, a), (1, b), (1, a), (2, c), (3, near), (4, b), (5, None), (5, ""), (5, ""), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = prefix_tree_join.one_per_component(docs.repartition(3)).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted(
+        [(1, a), (1, b), (2, c), (5, None), (5, ""), (6, "")], key=str
+    )
+
+
+def test_columns_without_an_order(spark):
+    rows = [(1, "x y z", {"k": 2}, "b"), (1, "x y z", {"k": 1}, "a"), (2, "p q r", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, extra map<string, int>, head_id string")
+    kept = {r["doc_id"]: r for r in prefix_tree_join.one_per_component(docs).collect()}
+    assert len(kept) == 2 and kept[1]["extra"] == {"k": 1} and kept[1]["head_id"] == "a"
