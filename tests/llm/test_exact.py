@@ -584,52 +584,6 @@ def test_tree_keeps_contexts_of_a_large_corpus(spark):
     assert all(rows[i]["score"] > rows[i]["base_score"] + 12 for i in range(40))
 
 
-def test_packed_hashes_come_back():
-    rng = np.random.default_rng(12)
-    hashes = np.unique(rng.integers(0, 1 << 40, 5000, dtype=np.uint64))
-    assert (suffix_tree_lm.unpacked(suffix_tree_lm.packed(hashes)) == hashes).all()
-    assert len(suffix_tree_lm.packed(hashes)) == 5 * len(hashes)
-    assert len(suffix_tree_lm.unpacked(b"")) == 0
-
-
-def test_hash_ranges_hold_every_pair_once():
-    rng = np.random.default_rng(13)
-    context, following = (rng.integers(-(1 << 62), 1 << 62, 3000) for _ in range(2))
-    n = rng.integers(0, 5, 3000)
-    groups = list(suffix_tree_lm.hash_ranges(context, following, n, 7))
-    seen = np.concatenate([some for _, _, some, _ in groups])
-    assert sorted(seen) == list(range(3000)) and len({g[:2] for g in groups}) == len(groups)
-    for _, kind, some, hashes in groups:
-        assert (np.minimum(n[some], 2) == kind).all() and (np.diff(hashes.astype(np.int64)) >= 0).all()
-
-
-def test_pairs_across_blocks_are_counted_exactly(spark):
-    """Pairs seen twice or more in training texts, wherever they stand, and those that only held-out texts ask for."""
-    rng = random.Random(14)
-    texts = [" ".join(f"w{min(rng.randrange(40), rng.randrange(40))}" for _ in range(30)) for _ in range(200)]
-    rows = suffix_tree_lm.numbered(documents(spark, texts), "doc_id", "text", 9)
-    stored = suffix_tree_lm.stored_by_block(rows, 9)
-    known = [(r["block"], r["doc_id"], r["held_out"]) for r in rows.collect()]
-    key = suffix_tree_lm.word_key
-    words = sorted({w for t in texts for w in t.split()})
-    contexts = spark.createDataFrame(
-        [(b, key(w.encode())) for b in {k[0] for k in known} for w in words], "block int, context bigint"
-    )
-    train, asked = Counter(), set()
-    for block, doc_id, held in known:
-        tokens = [*(w.encode() for w in texts[doc_id].split()), b""]
-        for pair in zip(tokens, tokens[1:]):
-            asked.add((block, key(pair[0]), key(pair[1])))
-            if not held:
-                train[key(pair[0]), key(pair[1])] += 1
-    for least in (1, 2, 5):
-        found = suffix_tree_lm.pair_counts(stored, contexts, 1, least, 5).collect()
-        wanted = {(b, c, x): train[c, x] for b, c, x in asked if train[c, x] >= least}
-        assert {(r["block"], r["context"], r["next"]): r["n"] for r in found} == wanted
-        heads = [(r["context"], r["next"]) for r in found if r["head"]]
-        assert len(heads) == len(set(heads)) == len({k[1:] for k in wanted})
-
-
 def test_tree_depth(spark):
     """Only three words before tell which word follows."""
     rng = random.Random(11)
