@@ -26,7 +26,7 @@ from ontide.operators.correlation import correlation_matrix, correlation_with_ta
 from ontide.operators.quantiles import quantile_bins
 from ontide.plans import kpis
 from ontide.plans.reports import key_findings
-from ontide.session import shared_dir, stage
+from ontide.session import stage, staged_path
 from ontide.sources.adapter import PORTABLE_SCORE, PORTABLE_TEST_ROWS, delivery_tables
 from ontide.sources.cleaning import clean_column_names, coerce_timestamps, nan_strings_to_null
 from ontide.sources.readers import table_row_counts
@@ -783,7 +783,7 @@ def scored_orders(spark: SparkSession, folder: str) -> DataFrame:
 def stream_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Orders scored by a stream over stored profiles."""
     model = training_run(spark, folder).model
-    base = f"{shared_dir(spark)}/stream-scores-{uuid4().hex}"
+    base = staged_path(spark)
     profiles = save_stage(scoring.known_orders(mart(spark, folder)), f"{base}/profiles")
     arriving = jobs.read_order_stream(spark, f"{base}/profiles", profiles.schema)
     flat = jobs.score_stream(arriving, model).select(
@@ -796,7 +796,7 @@ def stream_scores(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def stream_late_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Late counts per 30-day window, from a stream over the stored orders in several batches."""
-    base = f"{shared_dir(spark)}/stream-windows-{uuid4().hex}"
+    base = staged_path(spark)
     orders = save_stage(delivery_tables(spark, folder)["orders"], f"{base}/orders")
     arriving = jobs.read_order_stream(spark, f"{base}/orders", orders.schema)
     windows = jobs.late_windows(arriving)
