@@ -694,6 +694,71 @@ def threshold_comparison(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def portable_run(spark: SparkSession, folder: str) -> train.TrainingRun:
+    """The portable score in place of a trained model, its square as the baseline's; the threshold is the best of
+    the training rows."""
+    orders = mt.with_durations(mt.delivered_orders(delivery_tables(spark, folder)["orders"]))
+    rows = stage(orders.select("order_id", "is_late", F.expr(PORTABLE_SCORE).alias("score")))
+    in_test = F.expr(PORTABLE_TEST_ROWS)
+    parts = {True: rows.filter(in_test), False: rows.filter(~in_test)}
+    judged = {kind: part.withColumn("label", F.col("is_late")) for kind, part in parts.items()}
+    threshold = ev.best_threshold(judged[False]).first()["threshold"]
+    squared = judged[True].withColumn("score", F.col("score") * F.col("score"))
+
+    def row(scores: DataFrame, at: float) -> dict:
+        return ev.evaluate_scores(scores, at).first().asDict()
+
+    return train.TrainingRun(
+        model=train.RiskModel(ft.Preprocessor(), None, threshold),
+        train=parts[False],
+        test=parts[True],
+        scored_test=judged[True],
+        baseline_row=row(squared, DEFAULT_THRESHOLD),
+        default_row=row(judged[True], DEFAULT_THRESHOLD),
+        optimal_row=row(judged[True], threshold),
+        params=train.BoostingParams(),
+        best_rounds=1,
+    )
+
+
+@query
+def portable_kpi_row(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(scoring.kpi_row(train.metrics_document(spark, portable_run(spark, folder))))
+
+
+@query
+def portable_threshold_comparison(spark: SparkSession, folder: str) -> DataFrame:
+    document = train.metrics_document(spark, portable_run(spark, folder))
+    return rounded(scoring.threshold_comparison(document))
+
+
+@query
+def portable_model_deltas(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(train.model_deltas(spark, portable_run(spark, folder)))
+
+
+@query
+def portable_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """The plain fields of the metrics document."""
+    document = train.metrics_document(spark, portable_run(spark, folder))
+    return rounded(
+        document.select(
+            "n_features",
+            "n_train",
+            "n_test",
+            "late_rate_train",
+            "late_rate_test",
+            "scale_pos_weight",
+            "optimal_threshold",
+            "baseline_accuracy",
+            F.col("at_default_threshold.accuracy").alias("default_accuracy"),
+            F.col("at_optimal_threshold.accuracy").alias("optimal_accuracy"),
+            F.col("at_default_threshold.tn").alias("default_tn"),
+            F.col("at_optimal_threshold.fn").alias("optimal_fn"),
+        )
+    )
+
+
 # --- Scoring
 
 

@@ -1340,3 +1340,104 @@ add(
           max_payment_installments AS installments, {', '.join(f'{r(c)} AS {c}' for c in _INCOMING_DOUBLES)}
         FROM derived""",
 )
+
+# --- Metrics of a run, over the portable score on the test rows; the baseline's score is its square.
+
+_RUN = f"""{SCORED},
+marked AS (SELECT label, score, {PORTABLE_TEST_ROWS} AS in_test FROM scored),
+train_points AS (
+  SELECT score AS threshold, count(*) FILTER (WHERE label = 1) AS late,
+         count(*) FILTER (WHERE label = 0) AS on_time
+  FROM marked WHERE NOT in_test GROUP BY score),
+train_curve AS (
+  SELECT threshold, CAST(sum(late) OVER down AS DOUBLE) AS tp, CAST(sum(on_time) OVER down AS DOUBLE) AS fp,
+         CAST(sum(late) OVER () AS DOUBLE) AS p
+  FROM train_points WINDOW down AS (ORDER BY threshold DESC)),
+chosen AS (
+  SELECT threshold FROM train_curve
+  ORDER BY 2 * (tp / (tp + fp)) * (tp / p) / (tp / (tp + fp) + tp / p + 1e-9) DESC, threshold LIMIT 1),
+cases AS (
+  SELECT 'optimal' AS kind, label, score, threshold FROM marked, chosen WHERE in_test
+  UNION ALL SELECT 'default', label, score, 0.5 FROM marked WHERE in_test
+  UNION ALL SELECT 'baseline', label, score * score, 0.5 FROM marked WHERE in_test),
+counts AS (
+  SELECT kind, count(*) FILTER (WHERE score >= threshold AND label = 1) AS tp,
+         count(*) FILTER (WHERE score >= threshold AND label = 0) AS fp,
+         count(*) FILTER (WHERE score < threshold AND label = 0) AS tn,
+         count(*) FILTER (WHERE score < threshold AND label = 1) AS fn
+  FROM cases GROUP BY kind),
+ranks AS (
+  SELECT kind, late, on_time, sum(on_time) OVER (PARTITION BY kind ORDER BY score) - on_time AS below
+  FROM (SELECT kind, score, count(*) FILTER (WHERE label = 1) AS late,
+               count(*) FILTER (WHERE label = 0) AS on_time FROM cases GROUP BY kind, score)),
+aucs AS (
+  SELECT kind, sum(late * (below + on_time / 2)) / (CAST(sum(late) AS DOUBLE) * sum(on_time)) AS auc
+  FROM ranks GROUP BY kind),
+rates AS (
+  SELECT kind, auc, tp, fp, tn, fn, tp * 1.0 / (tp + fp) AS pr, tp * 1.0 / (tp + fn) AS re,
+         2.0 * tp / (2 * tp + fp + fn) AS f1, (tp + tn) * 1.0 / (tp + fp + tn + fn) AS accuracy
+  FROM counts JOIN aucs USING (kind)),
+sizes AS (
+  SELECT count(*) FILTER (WHERE NOT in_test) AS n_train, count(*) FILTER (WHERE in_test) AS n_test,
+         avg(label) FILTER (WHERE NOT in_test) AS late_train, avg(label) FILTER (WHERE in_test) AS late_test,
+         count(*) FILTER (WHERE NOT in_test AND label = 0) * 1.0
+           / count(*) FILTER (WHERE NOT in_test AND label = 1) AS weight
+  FROM marked),
+best AS (SELECT * FROM rates WHERE kind = 'optimal'),
+usual AS (SELECT * FROM rates WHERE kind = 'default'),
+simple AS (SELECT * FROM rates WHERE kind = 'baseline')"""
+
+
+def _four(expression: str) -> str:
+    return f"round(CAST({expression} AS DOUBLE), 4)"
+
+
+add(
+    "portable_kpi_row",
+    _RUN,
+    f"""SELECT n_train AS training_orders, {r('round((1 - late_train) * 100, 1)')} AS on_time_baseline_pct,
+          {r(_four('auc'))} AS auc_roc, {r(f"{_four('auc')} - 0.5")} AS auc_gain_over_random,
+          {r(f"{_four('re')} * 100")} AS late_orders_caught_pct, {r('threshold')} AS threshold
+        FROM best, sizes, chosen""",
+    ORDERS,
+)
+_METRIC_SQL = {"auc_roc": "auc", "recall": "re", "precision": "pr", "f1": "f1", "tp": "tp", "fp": "fp"}
+add(
+    "portable_threshold_comparison",
+    _RUN,
+    union(
+        [
+            f"""SELECT '{name}' AS metric, {r(_four(f'best.{c}'))} AS at_optimal, {r(_four(f'usual.{c}'))} AS at_default
+                FROM best, usual"""
+            for name, c in _METRIC_SQL.items()
+        ]
+        + [
+            f"SELECT '{name}', CAST({value} AS DOUBLE), CAST(NULL AS DOUBLE) FROM sizes"
+            for name, value in (("n_train", "n_train"), ("n_features", str(len(FINAL_FEATURE_COLUMNS))))
+        ]
+    ),
+    ORDERS,
+)
+add(
+    "portable_model_deltas",
+    _RUN,
+    union(
+        [
+            f"""SELECT '{name}' AS metric, {r(f'simple.{c}')} AS baseline, {r(f'usual.{c}')} AS final,
+                  {r(f'usual.{c} - simple.{c}')} AS difference FROM simple, usual"""
+            for name, c in (("auc_roc", "auc"), ("recall", "re"), ("f1", "f1"))
+        ]
+    ),
+    ORDERS,
+)
+add(
+    "portable_metrics",
+    _RUN,
+    f"""SELECT CAST({len(FINAL_FEATURE_COLUMNS)} AS INTEGER) AS n_features, n_train, n_test,
+          {r('late_train')} AS late_rate_train, {r('late_test')} AS late_rate_test, {r('weight')} AS scale_pos_weight,
+          {r('threshold')} AS optimal_threshold, {r('1 - late_test')} AS baseline_accuracy,
+          {r(_four('usual.accuracy'))} AS default_accuracy, {r(_four('best.accuracy'))} AS optimal_accuracy,
+          usual.tn AS default_tn, best.fn AS optimal_fn
+        FROM sizes, chosen, best, usual""",
+    ORDERS,
+)
