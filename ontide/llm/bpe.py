@@ -2,9 +2,11 @@
 
 A text is cut where a rolling hash of its last bytes meets a mask, so equal passages of different
 documents are cut alike. Every distinct chunk is encoded once per task and kept in a bounded
-store. A cut may fall inside a word; there the chunks' joint is encoded again over the words at
-the cut and their neighbours, and the piece is accepted when it agrees at both ends with what the
-chunks gave; until then the piece widens by a word on each side.
+store. A cut may fall inside a word. There the joint is encoded again, from the last place before the cut
+to the first one behind it where the tokenizer parts words in any surroundings (blanks, ASCII digits,
+ideographs beside ideographic stops). What the chunk gave stays where its ends agree with what the joints
+cover of it; otherwise the piece widens over the whole chunk. Cuts without such a place between them have
+one joint, so every byte is encoded a fixed number of times, also in texts without blanks.
 
 Chunks of plain characters (ASCII, Latin-1 letters, common punctuation) go through a byte-pair
 encoder on ranks taken from the same file: the end-of-word mark is a byte that no word holds, so
@@ -38,6 +40,7 @@ PRETOKEN = re.compile(
     "'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^\\s\x00-\x20a-zà-öø-ÿ0-9]+"
 )
 WORD_END = "</w>"
+LONG_WORD = 64  # characters; longer words are not remembered
 
 
 def cut_points(data: bytes) -> list[int]:
@@ -65,6 +68,28 @@ def cut_points(data: bytes) -> list[int]:
     return cuts
 
 
+def parted(data: bytes) -> np.ndarray:
+    """Ascending places at which the pre-tokenizer parts a text whatever stands around them."""
+    d = np.frombuffer(data, np.uint8)
+    blank = (d == 32) | (d == 9) | (d == 10) | (d == 13)
+    digit = (d >= 48) & (d <= 57)
+    place = np.zeros(len(d) + 1, bool)
+    # a digit with a combining mark behind it is left alone
+    place[1:-1] = blank[:-1] | blank[1:] | digit[1:] | (digit[:-1] & (d[1:] < 0x80))
+    # U+5000 to U+8FFF are ideographs throughout; the stops are U+3001, U+3002 and U+FF0C
+    ideograph = (d >= 0xE5) & (d <= 0xE8)
+    at = np.flatnonzero((d[:-2] == 0xE3) | (d[:-2] == 0xEF))
+    second, third = d[at + 1], d[at + 2]
+    full = (d[at] == 0xE3) & (second == 0x80) & ((third == 0x81) | (third == 0x82))
+    at = at[full | ((d[at] == 0xEF) & (second == 0xBC) & (third == 0x8C))]
+    left = at[at >= 3]
+    place[left[ideograph[left - 3]]] = True
+    right = at[at + 3 < len(d)] + 3
+    place[right[ideograph[right]]] = True
+    place[0] = place[-1] = True
+    return np.flatnonzero(place)
+
+
 def byte_letters() -> dict[str, int]:
     """The printable letter of every byte in byte-level vocabularies: visible bytes stand for
     themselves, the others follow from 256 on."""
@@ -82,7 +107,9 @@ class PlainWords(dict):
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         parts = [word] if word.isalpha() else PRETOKEN.findall(word)
-        ids = self[word] = tuple(self.encode(" ".join(parts) + " "))
+        ids = tuple(self.encode(" ".join(parts) + " "))
+        if len(word) <= LONG_WORD:
+            self[word] = ids
         return ids
 
 
@@ -142,65 +169,44 @@ class ChunkEncoder:
 
     def encode(self, data: bytes) -> list[int]:
         """Ids of a whole text."""
+        ends = cut_points(data)
+        if len(ends) < 2:
+            return list(self.encode_chunk(data)) if data else []
+        places = parted(data)
+        # the last place up to each chunk's end, and the first from there on
+        lefts = places[np.searchsorted(places, ends, "right") - 1].tolist()
+        rights = places[np.searchsorted(places, ends, "left")].tolist()
         out: list[int] = []
-        start = done = 0  # `out` holds the ids of data[:done]; the chunk began at `start`
-        for cut in cut_points(data):
-            ids = self.encode_chunk(data[start:cut])
-            if not start:
-                out, done = list(ids), cut
-            else:
-                out = self.joined(data, out, start, cut, ids)
-            start = cut
+        start = done = 0  # `out` holds the ids of data[:done]; the chunk begins at `start`
+        for end, left, right in zip(ends, lefts, rights):
+            if end > done:
+                ids = self.inside(data, start, end, done, left) if left > done else []
+                if ids is None:
+                    left = done
+                    ids = []
+                out += ids
+                if right > left:
+                    self.repaired += 1
+                    out += self.encode_piece(data[left:right])
+                done = right
+            start = end
         return out
 
-    def joined(self, data: bytes, out: list[int], at: int, end: int, ids: list[int]) -> list[int]:
-        """Ids of data[:end] from those of data[:at] and of the chunk data[at:end]."""
-        if data[at - 1] in b" \t\n\r" or data[at] in b" \t\n\r":
-            return out + ids
-        self.repaired += 1
-        words = 1
-        while True:
-            left, left_cut = before(data, at, words), before(data, at, 1)
-            right, right_cut = after(data, at, end, words), after(data, at, end, 1)
-            piece = self.encode_piece(data[left:right])
-            head, tail = self.encode_piece(data[left:left_cut]), self.encode_piece(data[right_cut:right])
-            old_left, old_right = self.encode_piece(data[left:at]), self.encode_piece(data[at:right])
-            agrees = (
-                piece[: len(head)] == head
-                and piece[len(piece) - len(tail) :] == tail
-                and out[len(out) - len(old_left) :] == old_left
-                and ids[: len(old_right)] == old_right
-            )
-            if agrees:
-                return out[: len(out) - len(old_left)] + piece + ids[len(old_right) :]
-            if left == 0 and right == end:
-                return self.encode_piece(data[:end])
-            words += 1
+    def inside(self, data: bytes, start: int, end: int, left: int, right: int) -> list[int] | None:
+        """Ids of data[left:right] by those of the chunk data[start:end], None if these disagree at an end."""
+        ids = self.encode_chunk(data[start:end])
+        head = self.encode_piece(data[start:left]) if left > start else []
+        tail = self.encode_piece(data[right:end]) if right < end else []
+        last = len(ids) - len(tail)
+        if last < len(head) or ids[: len(head)] != head or ids[last:] != tail:
+            return None
+        return ids[len(head) : last]
 
     def decode(self, ids: list[int]) -> str:
         """What the tokenizer's own decode gives: the file names no decoder, so tokens by a blank."""
         return " ".join(map(self.names.__getitem__, ids))
 
 
-def before(data: bytes, at: int, words: int) -> int:
-    """Start of the `words`-th word back from a place inside a word."""
-    for _ in range(words):
-        while at and data[at - 1] in b" \t\n\r":
-            at -= 1
-        while at and data[at - 1] not in b" \t\n\r":
-            at -= 1
-    return at
-
-
-def after(data: bytes, at: int, end: int, words: int) -> int:
-    for _ in range(words):
-        while at < end and data[at] in b" \t\n\r":
-            at += 1
-        while at < end and data[at] not in b" \t\n\r":
-            at += 1
-    return at
-
-
 def read_spec(path: str) -> str:
     with open(path, encoding="utf-8") as file:
         return file.read()
