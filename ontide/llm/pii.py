@@ -63,8 +63,13 @@ NUMBER_RUN = re.compile(
 NUMBER_WORD = re.compile(NUMBER, re.I)
 LEAST_WORDS, LEAST_DIGITS = 2, 10
 BRACKETED = re.compile(
-    "[ ]?[\\[({<][ ]?(?:(at)|(dot|punkt|punto|point)|(plus)|(dash|minus))[ ]?[\\])}>][ ]?", re.I
+    "[ ]?[\\[({<][ ]?(?:(at|@)|(dot|punkt|punto|point|\\.)|(plus)|(dash|minus))[ ]?[\\])}>][ ]?", re.I
 )
+# An address of numbers: groups of digits or number words, parted by dots of any form.
+BARE_DOT = " {1,3}dot {1,3}|[ ]?[\\[({<][ ]?(?:dot|punkt|punto|point|\\.)[ ]?[\\])}>][ ]?"
+IP_GROUP = f"(?:[0-9]++(?![A-Za-z])|{NUMBER}(?![A-Za-z])(?:[ -]{NUMBER}(?![A-Za-z]))*+)"
+IP_RUN = re.compile(f"(?<![A-Za-z0-9.]){IP_GROUP}(?:(?:\\.|{BARE_DOT}){IP_GROUP})*+", re.I)
+IP_PART = re.compile(f"({BARE_DOT})|\\.|({IP_GROUP})", re.I)
 # Top-level domains, first those that are English words or common in running text.
 WORD_ENDINGS = frozenset(
     "ad ae am an as at be by do go gg hm id in is it la ma me mr ms my no pa so st to tm us ai ac sc "
@@ -87,8 +92,8 @@ ENDINGS = WORD_ENDINGS | frozenset(
 )
 # Words before a noun, which are neither names nor hosts.
 ARTICLES = frozenset("the a an this that these those each every any some his her its our your their my".split())
-AT = re.compile("(@)|( {1,3}at {1,3})|[ ]?[\\[({<][ ]?at[ ]?[\\])}>][ ]?", re.I)
-DOT = re.compile("( {1,3}dot {1,3})|[ ]?[\\[({<][ ]?(?:dot|punkt|punto|point)[ ]?[\\])}>][ ]?", re.I)
+AT = re.compile("(@)|( {1,3}at {1,3})|[ ]?[\\[({<][ ]?(?:at|@)[ ]?[\\])}>][ ]?", re.I)
+DOT = re.compile("( {1,3}dot {1,3})|[ ]?[\\[({<][ ]?(?:dot|punkt|punto|point|\\.)[ ]?[\\])}>][ ]?", re.I)
 LABELS = re.compile("[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)*+")
 
 
@@ -201,6 +206,23 @@ class Normalised:
         return self.starts[start], self.ends[end - 1]
 
 
+def number_addresses(text: str) -> list[tuple[int, int, str]]:
+    """Edits that write disguised ip addresses plainly: four groups, each at most 255."""
+    edits = []
+    for run in IP_RUN.finditer(text):
+        dots, groups = [], []
+        for part in IP_PART.finditer(text, *run.span()):
+            if part[2]:
+                words = NUMBER_WORD.findall(part[2])
+                digits = "".join(NUMBER_WORDS[w.lower()] for w in words) or part[2]
+                groups.append((*part.span(), digits))
+            elif part[1]:
+                dots.append((*part.span(), "."))
+        if dots and len(groups) == 4 and all(in_range(digits) for *_, digits in groups):
+            edits += sorted([*dots, *groups])
+    return edits
+
+
 def spelled_digits(text: str) -> list[tuple[int, int, str]]:
     """Edits that write the number words of runs as digits."""
     edits = []
@@ -287,10 +309,11 @@ def address(text: str, start: int, at_sign: re.Match, local_dots: list, host: li
 
 
 def normalise(source: str) -> Normalised:
-    """The three transducers, one after the other."""
+    """The transducers, one after the other."""
     state = Normalised(source)
     state.text = source.translate(LOOKS)
     state.rewrite([(i, i + 1, "") for i, c in enumerate(state.text) if c in UNSEEN])
+    state.rewrite(number_addresses(state.text))
     state.rewrite(spelled_digits(state.text))
     state.rewrite(address_marks(state.text))
     state.rewrite(
