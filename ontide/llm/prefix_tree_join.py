@@ -1,6 +1,6 @@
 """Jaccard self-join of n-gram sets by prefix trees, and the groups that its links make.
 
-A text's set holds the 64-bit hashes of its three-word shingles in ascending order, which is the same
+A text's set holds the 64-bit hashes of its shingles, of three words by default, in ascending order, which is the same
 order for all sets. Where sets meet in a bucket they are stored in a trie with merged edges; a set is joined by
 walking the trie from its root, so the overlap with a common beginning is counted once for all
 sets below it. A subtree is left when the overlap so far and what the remaining lengths can still
@@ -39,15 +39,15 @@ from pyspark.sql import DataFrame, types as T, functions as F
 from ontide.llm.common import batch_of, lower_words, map_rows, parts, raw
 from ontide.session import stage
 
-SHINGLE = 3
 LEAST_GROWTH = 1.25
 
 
 @dataclass(frozen=True)
 class JoinParams:
-    """Two sets link when 100 * intersection >= percent * union."""
+    """Two sets of shingles of `width` words link when 100 * intersection >= percent * union."""
 
     percent: int = 90
+    width: int = 3
     chunk: int = 128
     rounds: int = 2
 
@@ -72,16 +72,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: bytes | None, hashes: WordHashes) -> np.ndarray:
+def shingle_set(text: bytes | None, hashes: WordHashes, width: int) -> np.ndarray:
     """Ascending distinct hashes of the shingles; the whole sequence is one where it is shorter."""
     words = lower_words(text)
-    if len(words) < SHINGLE:
+    if len(words) < width:
         whole = b"\x00".join([b"%d" % len(words), *words])
         return np.array([xxhash.xxh3_64_intdigest(whole)] if words else [], np.uint64)
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    n = len(words) - SHINGLE + 1
+    n = len(words) - width + 1
     joined = mixed(h[:n])
-    for i in range(1, SHINGLE):
+    for i in range(1, width):
         joined = mixed(joined * np.uint64(0x9E3779B97F4A7C15) + h[i : n + i])
     return np.unique(joined)
 
@@ -257,7 +257,7 @@ def signatures(docs: DataFrame, params: JoinParams, id_col: str, text_col: str)
         def rows(batch):
             ids, text_keys = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for doc_id, text_key, text in zip(ids, text_keys, raw(batch.column(1))):
-                values = shingle_set(text, hashes)
+                values = shingle_set(text, hashes, params.width)
                 digest = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
                 yield doc_id, text_key, len(values), digest if len(values) else None, cutter.keys(values)
 
@@ -290,7 +290,7 @@ def bucket_links(members: DataFrame, texts: DataFrame, params: JoinParams) -> Da
                         out += links()
                     current, sets, labels, earlier = (bucket, chunk), [], [], []
                 labels.append(label)
-                sets.append(shingle_set(text, hashes))
+                sets.append(shingle_set(text, hashes, params.width))
                 earlier.append([key for key in keys or () if key < bucket])
             yield batch_of(out, fields)
         if len(sets) > 1:

@@ -1,5 +1,6 @@
 """Operators against brute force, the tokenizer libraries and round trips."""
 
+import base64
 import hashlib
 import io
 import math
@@ -321,6 +322,15 @@ def test_wider_spans_stand_beside_base_spans(text):
         ("plus one five five five one two three four five six seven", "phone"),
         ("+1 (five five five) 123-four five six seven", "phone"),
         ("four five three two-0151-one two eight three-0366", "card"),
+        ("user[@]example[.]com", "email"),
+        ("user(@)example.com", "email"),
+        ("user [@] mail dot example [.] com", "email"),
+        ("jane [.] doe {@} example(.)org", "email"),
+        ("192[.]168[.]1[.]1", "ip"),
+        ("192 dot 168 dot 1 dot 1", "ip"),
+        ("192.168 [dot] 1 (.) 1", "ip"),
+        ("one nine two dot one six eight dot one dot one", "ip"),
+        ("one zero dot 0 dot two five five dot oh", "ip"),
     ],
 )
 def test_mixed_disguises(text, kind):
@@ -337,6 +347,11 @@ def test_mixed_disguises(text, kind):
         "one or two (three) of them in 2019, and 5 at home",
         "a dot at home and a dot at work",
         "plus one two three of these",
+        "version 2 dot 10 dot 3 is out",
+        "releases 1 dot 2 dot 3 dot 4 dot 5 and 7[.]1",
+        "192 dot 168 dot 1 dot 256",
+        "one two dot three dot four",
+        "the end [.] and more (@) home",
     ],
 )
 def test_running_text_stays(text):
@@ -344,7 +359,7 @@ def test_running_text_stays(text):
 
 
 def test_disguises_are_linear():
-    for piece in ("a dot ", "a at ", "one ", "1 (", "a at b dot c ", "a [dot] ", "@ dot "):
+    for piece in ("a dot ", "a at ", "one ", "1 (", "a at b dot c ", "a [dot] ", "@ dot ", "1 dot ", "one dot ", "1[.]"):
         pii.all_spans(piece * 50_000)
 
 
@@ -372,6 +387,58 @@ def test_bpe_matches_library(spark, small):
     assert encoder.reused and encoder.repaired
 
 
+def without_blanks(kind, size):
+    rng = random.Random(size)
+    if kind == "stops":
+        return "".join(rng.choice("中文字符国家人民我们的一是不了在有大这来。，、") for _ in range(size // 3))
+    if kind == "ideographs":
+        return "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(size // 3))
+    if kind == "base64":
+        return base64.b64encode(rng.randbytes(size * 3 // 4)).decode()
+    return "".join(rng.choice("abcdefghij") for _ in range(size))
+
+
+KINDS_WITHOUT_BLANKS = ["stops", "ideographs", "base64", "letters"]
+
+
+@pytest.mark.parametrize("kind", KINDS_WITHOUT_BLANKS)
+def test_bpe_without_blanks(kind):
+    from tokenizers import Tokenizer
+
+    spec = bpe.read_spec(tokenizer_path(WORD_BPE))
+    library, encoder = Tokenizer.from_str(spec), bpe.ChunkEncoder(spec)
+    long = without_blanks(kind, 200_000)
+    for text in (long, long[50_000:90_000], f"one {long[:30_000]} two {long[:20_000]}"):
+        assert encoder.encode(text.encode()) == library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("kind", KINDS_WITHOUT_BLANKS)
+def test_bpe_work_grows_with_the_text(kind):
+    """Bytes that go through the encoder, chunks and joints together: the same multiple at every length."""
+    spec = bpe.read_spec(tokenizer_path(WORD_BPE))
+    for size in (30_000, 300_000):
+        encoder, seen = bpe.ChunkEncoder(spec), []
+        plain = encoder.encode_piece
+        encoder.encode_piece = lambda data, plain=plain, seen=seen: seen.append(len(data)) or plain(data)
+        data = without_blanks(kind, size).encode()
+        encoder.encode(data)
+        assert sum(seen) <= 3 * len(data)
+
+
+def test_bpe_places_part_words_anywhere():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_str(bpe.read_spec(tokenizer_path(WORD_BPE)))
+    rng = random.Random(12)
+    letters = "ab'st ré12\n9\u0301\u20e3½Σ中国人。，、!<|é"
+    for _ in range(2_000):
+        data = "".join(rng.choice(letters) for _ in range(rng.randrange(1, 12))).encode()
+        whole = library.encode(data.decode(), add_special_tokens=False).ids
+        for at in bpe.parted(data).tolist():
+            sides = [library.encode(side.decode(), add_special_tokens=False).ids for side in (data[:at], data[at:])]
+            assert sides[0] + sides[1] == whole, (data.decode(), at)
+
+
 def test_bpe_rows(spark):
     spec = bpe.read_spec(tokenizer_path(WORD_BPE))
     encoded = bpe.encode_documents(documents(spark, ["Hello world", None]), spec)
@@ -411,11 +478,11 @@ def brute_components(sets, percent=90):
     return {d: find(d) for d in ids}
 
 
-def shingles(text):
+def shingles(text, width=3):
     words = (text or "").lower().split()
-    if len(words) < 3:
+    if len(words) < width:
         return {tuple(words)} if words else set()
-    return set(zip(words, words[1:], words[2:]))
+    return set(zip(*(words[i:] for i in range(width))))
 
 
 def test_join_matches_brute_force(spark):
@@ -438,6 +505,10 @@ def test_join_matches_brute_force(spark):
         rows = prefix_tree_join.link_documents(documents(spark, texts), params).collect()
         assert {r["doc_id"]: r["component_id"] for r in rows} == wanted
         assert all(r["n_shingles"] == len(shingles(texts[r["doc_id"]])) for r in rows)
+    wanted = brute_components({i: shingles(t, 5) for i, t in enumerate(texts)}, 80)
+    rows = prefix_tree_join.link_documents(documents(spark, texts), corpus_pipeline.NEAR).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == wanted
+    assert all(r["n_shingles"] == len(shingles(texts[r["doc_id"]], 5)) for r in rows)
 
 
 def test_parts_miss_no_link():
@@ -612,7 +683,7 @@ def test_pipeline_matches_brute_force(spark, small):
         for r in quality_rules.clean_documents(documents_of(spark, docs)).collect()
         if r["kept"]
     }
-    component = brute_components({d: shingles(t) for d, t in cleaned.items()})
+    component = brute_components({d: shingles(t, 5) for d, t in cleaned.items()}, 80)
     unique = {d: t for d, t in cleaned.items() if component[d] == d}
     windows = set()
     for row in table(spark, small, "benchmark").collect():
