@@ -15,6 +15,7 @@ from ontide.llm.queries import WORD_BPE, tokenizer_path
 from ontide.session import stage
 
 OTHERS = ["lang", "source"]
+NEAR = prefix_tree_join.JoinParams(percent=80, width=5)
 
 
 def documents(rows: DataFrame, text: str) -> DataFrame:
@@ -30,8 +31,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    return prefix_tree_join.one_per_component(docs)
+    """The document with the smallest id of each group of near copies: sets of five-word shingles with a
+    similarity of 0.8 or more."""
+    return prefix_tree_join.one_per_component(docs, NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
