@@ -12,7 +12,9 @@ nineteenth of their joint length, D elements. Hash ranges cut a set into more th
 least one part of both is the same; its hash is a key. Empty parts count only for sets that
 have so many of them that all equal parts could be empty. The number of parts belongs to a class of
 lengths; sets near the upper end of a class also give the keys of the next. No link can be missed,
-and a passage that many texts share makes no key by itself, unlike single shingles.
+and a passage that many texts share makes no key by itself, unlike single shingles. As there are some
+parts more than D, linked sets have as many keys of a class in common, less the set's empty parts: a set
+with fewer keys that others have too leaves the class.
 
 Order of work: equal sets are one class. Merging rounds put every group's head into the bucket
 of its smallest key that other groups have too, in chunks of `chunk` heads, and join there; a
@@ -109,6 +111,11 @@ class Parts:
         return differing + spare, spare
 
     def keys(self, values: np.ndarray) -> list[int]:
+        """Keys of all classes. A key's last bit tells its class from the next one."""
+        return [key for _, keys, _ in self.classes(values) for key in keys]
+
+    def classes(self, values: np.ndarray) -> list[tuple[int, list[int], int]]:
+        """Per class: its number, the set's keys, and how many of them a linked set of the class has too."""
         n = len(values)
         if not n:
             return []
@@ -123,13 +130,15 @@ class Parts:
             part = ((values >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
             starts = np.flatnonzero(np.diff(part, prepend=part[:1] - np.uint64(1)))
             sums, present = np.add.reduceat(weights, starts), part[starts]
-            if count - len(present) >= spare:
+            empty = count - len(present)
+            if empty >= spare:
                 every = np.zeros(count, np.uint64)
                 every[present.astype(np.int64)] = sums
                 sums, present = every, np.arange(count, dtype=np.uint64)
             tag = mixed(present + np.uint64(number << 32) + np.uint64(1))
-            out.append(mixed(sums ^ tag).view(np.int64))
-        return np.concatenate(out).tolist()
+            marked = mixed(sums ^ tag) & np.uint64(2**64 - 2) | np.uint64(number & 1)
+            out.append((number, marked.view(np.int64).tolist(), max(1, spare - empty)))
+        return out
 
 
 class Groups:
@@ -247,7 +256,7 @@ def join_bucket(
     return sorted({(smallest[groups.find(at)], labels[i]) for at, i in enumerate(order)} - {(x, x) for x in labels})
 
 
-SIGNED = "doc_id bigint, text_key binary, n bigint, digest binary, keys array<bigint>"
+SIGNED = "doc_id bigint, text_key binary, n bigint, digest binary, keys array<bigint>, needs array<int>"
 
 
 def signatures(docs: DataFrame, params: JoinParams, id_col: str, text_col: str) -> DataFrame:
@@ -259,7 +268,11 @@ def signatures(docs: DataFrame, params: JoinParams, id_col: str, text_col: str)
             for doc_id, text_key, text in zip(ids, text_keys, raw(batch.column(1))):
                 values = shingle_set(text, hashes, params.width)
                 digest = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
-                yield doc_id, text_key, len(values), digest if len(values) else None, cutter.keys(values)
+                keys, needs = [], [1, 1]
+                for number, own, need in cutter.classes(values):
+                    keys += own
+                    needs[number & 1] = need
+                yield doc_id, text_key, len(values), digest if len(values) else None, keys, needs
 
         return rows
 
@@ -301,6 +314,20 @@ def bucket_links(members: DataFrame, texts: DataFrame, params: JoinParams) -> Da
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
+def of_several(members: DataFrame) -> DataFrame:
+    """(key, cid) of keys that several sets have."""
+    several = members.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high"))
+    return members.join(several.filter("low < high").select("key"), "key").select("key", "cid")
+
+
+def with_enough_keys(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, cid) of sets that share as many keys of a class as linked sets do, by their `needs` in `classes`."""
+    odd = F.col("key").bitwiseAND(F.lit(1)).cast("int").alias("odd")
+    counts = shared.groupBy("cid", odd).agg(F.count("*").alias("n")).join(classes.select("cid", "needs"), "cid")
+    enough = counts.filter(F.col("n") >= F.get("needs", F.col("odd"))).select("cid", "odd")
+    return of_several(shared.select("key", "cid", odd).join(enough, ["cid", "odd"]).select("key", "cid"))
+
+
 def one_key_per_membership(shared: DataFrame) -> DataFrame:
     """(key, cid) without keys that hold the same sets as another key: near copies share most of theirs."""
     print_of = shared.groupBy("key").agg(
@@ -447,20 +474,22 @@ def link_documents(
     of its component's first row, by id and digest, as an id may stand before several texts."""
     signed = stage(signatures(docs, params, id_col, text_col))
     usable = signed.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    classes = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    classes = usable.groupBy("digest").agg(
+        F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("needs").alias("needs")
+    )
     classes = stage(
         classes.select(
             "digest",
             F.col("first.doc_id").alias("rep"),
             F.col("first.text_key").alias("text_key"),
+            "needs",
             F.monotonically_increasing_id().alias("cid"),
         )
     )
     own = usable.select("digest", F.col("doc_id").alias("rep"), "text_key", "keys")
     keys = own.join(classes, ["digest", "rep", "text_key"]).select("cid", F.explode("keys").alias("key"))
-    several = keys.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high"))
-    shared = keys.join(several.filter("low < high").select("key"), "key").select("key", "cid")
-    shared = stage(one_key_per_membership(stage(shared.distinct())))
+    shared = stage(of_several(keys).distinct())
+    shared = stage(one_key_per_membership(stage(with_enough_keys(shared, classes))))
 
     needed = shared.select("cid").distinct().join(classes, "cid").select("cid", "rep", "text_key")
     source = docs.select(

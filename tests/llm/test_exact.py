@@ -535,6 +535,31 @@ def test_parts_meet_at_any_percent(percent):
             other = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
             values = np.sort(rng.permutation(other)[:n])
             assert set(cutter.keys(values)) & set(cutter.keys(other)), (n, size)
+            assert share_enough(cutter, values, other), (n, size)
+
+
+def share_enough(cutter, *sets):
+    """Whether in some class both sets have in common as many keys as each of them needs."""
+    one, two = ({number: (set(keys), need) for number, keys, need in cutter.classes(s)} for s in sets)
+    return any(len(one[c][0] & two[c][0]) >= max(one[c][1], two[c][1]) for c in one.keys() & two.keys())
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_linked_sets_share_enough_keys(percent):
+    rng = np.random.default_rng(10)
+    cutter = prefix_tree_join.Parts(percent)
+    found = 0
+    for _ in range(1500):
+        n = int(rng.choice([2, 5, 9, 24, 60, 200, 900]))
+        values = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        kept = values[rng.random(len(values)) < rng.choice([0.7, 0.85, 0.95, 1.0])]
+        new = rng.integers(0, 1 << 63, int(rng.integers(0, n // 5 + 2)), dtype=np.uint64)
+        other = np.unique(np.concatenate([kept, new]))
+        shared = len(np.intersect1d(values, other))
+        if len(other) and 100 * shared >= percent * (len(values) + len(other) - shared):
+            found += 1
+            assert share_enough(cutter, values, other)
+    assert found > 100
 
 
 def test_components_of_a_path(spark):
