@@ -10,11 +10,12 @@ below belongs to the set's own group or is compared elsewhere.
 How sets find their bucket. Two sets with a Jaccard similarity of at least 0.9 differ in at most a
 nineteenth of their joint length, D elements. Hash ranges cut a set into more than D parts, so at
 least one part of both is the same; its hash is a key. Empty parts count only for sets that
-have so many of them that all equal parts could be empty. The number of parts belongs to a class of
+have so many of them that all equal parts could be empty, by the set's own length. The number of parts belongs to a class of
 lengths; sets near the upper end of a class also give the keys of the next. No link can be missed,
 and a passage that many texts share makes no key by itself, unlike single shingles. As there are some
-parts more than D, linked sets have as many keys of a class in common, less the set's empty parts: a set
-with fewer keys that others have too leaves the class.
+parts more than D, and a set shorter than its class allows can differ in fewer elements than D, linked
+sets have as many keys of a class in common, less the set's empty parts: a set with fewer keys that
+others have too leaves the class.
 
 Order of work: equal sets are one class. Merging rounds put every group's head into the bucket
 of its smallest key that other groups have too, in chunks of `chunk` heads, and join there; a
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame, types as T, functions as F
 from ontide.llm.common import batch_of, lower_words, map_rows, parts, raw
 from ontide.session import stage
 
-LEAST_GROWTH = 1.25
+LEAST_GROWTH = 1.5
 
 
 @dataclass(frozen=True)
@@ -103,12 +104,17 @@ class Parts:
             self.bounds.append(max(last + 1, int(last * self.growth)))
         return int(np.searchsorted(self.bounds, n, "right")) - 1
 
-    def shape(self, number: int) -> tuple[int, int]:
-        """Parts of a class, and how many empty ones make empty parts count."""
+    def differing(self, n: int, longest: int) -> int:
+        """The most elements in which a set of `n` can differ from a linked one of up to `longest`."""
+        other = min(longest, 100 * n // self.percent)
+        return (n + other) * (100 - self.percent) // (100 + self.percent)
+
+    def shape(self, number: int, n: int) -> tuple[int, int]:
+        """Parts of a class, and how many of them a set of `n` elements has like a linked one at least."""
         longest = self.bounds[number + 1] - 1
-        differing = 2 * longest * (100 - self.percent) // (100 + self.percent)
-        spare = 1 + min(3, differing) + differing // 100
-        return differing + spare, spare
+        most = self.differing(longest, longest)
+        count = most + 1 + min(3, most) + most // 12
+        return count, count - self.differing(n, longest)
 
     def keys(self, values: np.ndarray) -> list[int]:
         """Keys of all classes. A key's last bit tells its class from the next one."""
@@ -126,18 +132,18 @@ class Parts:
             numbers.append(own + 1)
         out, weights = [], mixed(values)
         for number in numbers:
-            count, spare = self.shape(number)
+            count, alike = self.shape(number, n)
             part = ((values >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
             starts = np.flatnonzero(np.diff(part, prepend=part[:1] - np.uint64(1)))
             sums, present = np.add.reduceat(weights, starts), part[starts]
             empty = count - len(present)
-            if empty >= spare:
+            if empty >= alike:
                 every = np.zeros(count, np.uint64)
                 every[present.astype(np.int64)] = sums
                 sums, present = every, np.arange(count, dtype=np.uint64)
             tag = mixed(present + np.uint64(number << 32) + np.uint64(1))
             marked = mixed(sums ^ tag) & np.uint64(2**64 - 2) | np.uint64(number & 1)
-            out.append((number, marked.view(np.int64).tolist(), max(1, spare - empty)))
+            out.append((number, marked.view(np.int64).tolist(), max(1, alike - empty)))
         return out
 
 
@@ -315,9 +321,9 @@ def bucket_links(members: DataFrame, texts: DataFrame, params: JoinParams) -> Da
 
 
 def of_several(members: DataFrame) -> DataFrame:
-    """(key, cid) of keys that several sets have."""
-    several = members.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high"))
-    return members.join(several.filter("low < high").select("key"), "key").select("key", "cid")
+    """(key, cid) of keys that stand in several rows."""
+    several = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    return members.join(several.select("key"), "key").select("key", "cid")
 
 
 def with_enough_keys(shared: DataFrame, classes: DataFrame) -> DataFrame:
@@ -488,6 +494,7 @@ def link_documents(
     )
     own = usable.select("digest", F.col("doc_id").alias("rep"), "text_key", "keys")
     keys = own.join(classes, ["digest", "rep", "text_key"]).select("cid", F.explode("keys").alias("key"))
+    # repeated rows count as several here; the next step drops what only they share
     shared = stage(of_several(keys).distinct())
     shared = stage(one_key_per_membership(stage(with_enough_keys(shared, classes))))
 
