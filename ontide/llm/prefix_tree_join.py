@@ -37,7 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, types as T, functions as F
+from pyspark.sql import DataFrame, Window, types as T, functions as F
 
 from ontide.llm.common import batch_of, lower_words, map_rows, parts, raw
 from ontide.session import stage
@@ -327,11 +327,21 @@ def of_several(members: DataFrame) -> DataFrame:
 
 
 def with_enough_keys(shared: DataFrame, classes: DataFrame) -> DataFrame:
-    """(key, cid) of sets that share as many keys of a class as linked sets do, by their `needs` in `classes`."""
+    """(key, cid) of sets that share as many keys of a class as linked sets do, by their `needs` in `classes`.
+
+    Linked sets have `need` keys of a class in common or more. So each can go without its `need` - 1 most
+    frequent ones, in an order that is the same for all: one of the common keys is left to both.
+    """
     odd = F.col("key").bitwiseAND(F.lit(1)).cast("int").alias("odd")
     counts = shared.groupBy("cid", odd).agg(F.count("*").alias("n")).join(classes.select("cid", "needs"), "cid")
-    enough = counts.filter(F.col("n") >= F.get("needs", F.col("odd"))).select("cid", "odd")
-    return of_several(shared.select("key", "cid", odd).join(enough, ["cid", "odd"]).select("key", "cid"))
+    need = F.get("needs", F.col("odd"))
+    enough = counts.filter(F.col("n") >= need).select("cid", "odd", need.alias("need"))
+    members = shared.select("key", "cid", odd).join(enough, ["cid", "odd"])
+    sizes = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    # a window holds the keys of one set
+    rank = F.row_number().over(Window.partitionBy("cid", "odd").orderBy(F.desc("n"), "key"))
+    ranked = members.join(sizes, "key").withColumn("rank", rank)
+    return of_several(ranked.filter("rank >= need").select("key", "cid"))
 
 
 def one_key_per_membership(shared: DataFrame) -> DataFrame:
