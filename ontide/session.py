@@ -52,6 +52,9 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+# Removes an execution's shuffle files when it ends, instead of when the driver collects garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 # Paths staged inside each open `stage_scope`.
 _SCOPES: list[list[str]] = []
 
@@ -72,10 +75,17 @@ def stage(df: DataFrame) -> DataFrame:
     a floating-point mean may differ in its last digit from one evaluation of a shuffle
     to the next. The files lie under the application's id, so they can be removed once
     the application has ended; inside a `stage_scope` they go when it closes.
+
+    The write's shuffle files go as soon as it ends: nothing reads them again.
     """
     spark = df.sparkSession
     path = staged_path(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -169,3 +170,25 @@ def test_recorded_counts_give_the_recorded_metrics(spark):
     rows = ev.classification_metrics(cells).select(*[F.round(c, 4) for c in columns]).collect()
     assert tuple(rows[0]) == (0.2889, 0.4888, 0.3632, 0.8609)
     assert tuple(rows[1]) == (0.2233, 0.6134, 0.3274, 0.7956)
+
+
+def test_a_stage_leaves_no_shuffle_files(spark):
+    import os
+
+    from ontide.session import SHUFFLE_CLEANUP, stage
+
+    block_manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager()
+    folders = [f.getPath() for f in block_manager.diskBlockManager().localDirs()]
+
+    def shuffle_files():
+        return {name for top in folders for _, _, names in os.walk(top) for name in names if name.startswith("shuffle_")}
+
+    rows = spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).agg(F.count("*").alias("n"))
+    setting, before = spark.conf.get(SHUFFLE_CLEANUP, None), shuffle_files()
+    staged = stage(rows)
+    deadline = time.time() + 20
+    while shuffle_files() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert shuffle_files() - before == set()
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) == setting
+    assert staged.count() == rows.count() == 100 and rows.agg(F.sum("n")).first()[0] == 10_000
