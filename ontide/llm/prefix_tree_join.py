@@ -42,7 +42,9 @@ from pyspark.sql import DataFrame, Window, types as T, functions as F
 from ontide.llm.common import batch_of, lower_words, map_rows, parts, raw
 from ontide.session import stage
 
-LEAST_GROWTH = 1.5
+# Wider classes of lengths have more parts for short sets, and fewer sets that give keys of two classes. The
+# number of keys is least between these, the nearer to the upper one the more linked sets may differ.
+LEAST_GROWTH, USUAL_GROWTH = 1.5, 2
 
 
 @dataclass(frozen=True)
@@ -95,7 +97,7 @@ class Parts:
     def __init__(self, percent: int):
         self.percent = percent
         # sets that link lie in one class of lengths or in two that follow each other
-        self.growth = max(LEAST_GROWTH, 100 / percent)
+        self.growth = max(LEAST_GROWTH, 100 / percent, min(USUAL_GROWTH, (100 / percent) ** 3))
         self.bounds = [1]
 
     def _class_of(self, n: int) -> int:
