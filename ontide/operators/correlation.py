@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontide.contract import CORRELATION_COLUMNS, TARGET_COLUMN
+from ontide.session import stage
 
 # A sum of squared deviations below this share of the sum of squares is rounding: a constant.
 _CONSTANT = 1e-12
 
 
 def pair_correlations(
-    df: DataFrame, columns: Sequence[str], others: Sequence[str] | None = None
+    df: DataFrame, columns: Sequence[str], others: Sequence[str] | None = None, stable: bool = False
 ) -> DataFrame:
     """(feature_a, feature_b, correlation) of each column with each of `others`.
 
@@ -28,7 +29,8 @@ def pair_correlations(
     A row becomes a vector of values less the column's mean (0 where unknown), of marks of
     what is known, and of squares. The products of these vectors, summed over the rows, hold all
     counts and sums that the pairs need. Each task adds them up in one small matrix, so no rows
-    multiply and nothing but those matrices is exchanged. Two passes read the columns.
+    multiply and nothing but those matrices is exchanged. Two passes read the columns, which are staged,
+    so `df` is computed once; `stable=True` promises that it is a stored or staged table.
     """
     mirrored = others is None
     others = list(columns) if others is None else list(others)
@@ -36,6 +38,8 @@ def pair_correlations(
     n = len(names)
     at = {name: i for i, name in enumerate(names)}
     known = df.select(*[F.col(c).cast("double").alias(f"c{i}") for c, i in at.items()])
+    if not stable:
+        known = stage(known)
     means = known.agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(n)]).first()
     deviations = [F.coalesce(F.col(f"c{i}") - F.lit(means[i] or 0.0), F.lit(0.0)) for i in range(n)]
     marks = [F.col(f"c{i}").isNotNull().cast("double") for i in range(n)]

@@ -174,3 +174,17 @@ def test_describe_and_top_values(spark):
 def test_duplicate_rows_count_nulls_as_equal(spark):
     df = spark.createDataFrame([(1, None), (1, None), (2, "x")], "a int, b string")
     assert table_overview({"t": df}).first().duplicate_rows == 1
+
+
+def test_correlations_compute_their_table_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(value):
+        seen.add(1)
+        return value * value
+
+    rows = spark.range(40).select("id", counted(F.col("id").cast("double")).alias("a"), (F.col("id") % 2).alias("late"))
+    found = {r.feature_b: r.correlation for r in correlation_matrix(rows, ["a", "late"]).collect() if r.feature_a == "a"}
+    assert seen.value == 40
+    assert abs(found["a"] - 1) < 1e-12 and -1 < found["late"] < 1
