@@ -188,3 +188,26 @@ def test_correlations_compute_their_table_once(spark):
     found = {r.feature_b: r.correlation for r in correlation_matrix(rows, ["a", "late"]).collect() if r.feature_a == "a"}
     assert seen.value == 40
     assert abs(found["a"] - 1) < 1e-12 and -1 < found["late"] < 1
+
+
+def _staged_columns(spark, monkeypatch, name):
+    from ontide.plans import registry
+
+    staged = []
+
+    def stage(df):
+        staged.append(df.columns)
+        return registry_stage(df)
+
+    registry_stage = registry.stage
+    monkeypatch.setattr(registry, "stage", stage)
+    shown = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    return staged, shown
+
+
+@pytest.mark.parametrize("name", ["score_inputs_known"])
+def test_queries_stage_only_what_they_show(spark, monkeypatch, name):
+    staged, shown = _staged_columns(spark, monkeypatch, name)
+    assert len(staged) == 1
+    assert not {"customer_city", "main_seller_city", "review_count", "delivery_days_actual"} & set(staged[0])
+    assert shown.count() > 0
