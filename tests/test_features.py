@@ -205,7 +205,7 @@ def _staged_columns(spark, monkeypatch, name):
     return staged, shown
 
 
-@pytest.mark.parametrize("name", ["score_inputs_known"])
+@pytest.mark.parametrize("name", ["score_inputs_known", "imputed_mart"])
 def test_queries_stage_only_what_they_show(spark, monkeypatch, name):
     staged, shown = _staged_columns(spark, monkeypatch, name)
     assert len(staged) == 1
