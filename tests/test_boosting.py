@@ -140,3 +140,34 @@ def test_number_of_ranges(spark, monkeypatch):
         df = spark.range(rows).withColumn("n", F.lit(1))
         assert running_totals(df, "id", ["n"], rows_per_range=50).agg(F.max("upto_n")).first()[0] == rows
     assert seen == [2, 20]
+
+
+def test_one_tree_a_round_keeps_no_node_ids(fitted):
+    data, trees = fitted
+    learner = train.boosted_trees(train.BoostingParams(rounds=8, max_depth=3))
+    assert not learner.getCacheNodeIds()
+    # only a way to compute: the trees are the same
+    kept = learner.setCacheNodeIds(True).fit(data)
+    assert kept.toDebugString.split("\n")[1:] == trees.toDebugString.split("\n")[1:]
+
+
+def test_final_fits_run_together(spark, rows, monkeypatch):
+    """The model that chooses the threshold and the final one don't wait for each other."""
+    from threading import Barrier
+
+    pair = Barrier(2)
+
+    class Learner:
+        def fit(self, data):
+            pair.wait(60)
+            return made.fit(data)
+
+    made = train.boosted_trees(train.BoostingParams(rounds=2, max_depth=2))
+    fitted = train.Preprocessor(features=FEATURES)
+    first = made.fit(train.training_rows(rows, FEATURES, "is_late"))
+    monkeypatch.setattr(train, "fit_preprocessor", lambda *_, **__: fitted)
+    monkeypatch.setattr(train, "feature_matrix", lambda part, _: part)
+    monkeypatch.setattr(train, "fit_baseline", lambda *_: first)
+    monkeypatch.setattr(train, "boosted_trees", lambda _: Learner())
+    run = train.train_risk_model(rows, draws=0)
+    assert run.scored_test.count() == run.test.count() > 0
