@@ -190,7 +190,22 @@ def test_correlations_compute_their_table_once(spark):
     assert abs(found["a"] - 1) < 1e-12 and -1 < found["late"] < 1
 
 
-def _staged_columns(spark, monkeypatch, name):
+SOURCES = {
+    "region": "SELECT CAST(id AS INT) r_regionkey, concat('R', id) r_name FROM range(2)",
+    "nation": "SELECT CAST(id AS INT) n_nationkey, concat('N', id) n_name, CAST(id % 2 AS INT) n_regionkey FROM range(4)",
+    "customer": "SELECT id c_custkey, CAST(id % 4 AS INT) c_nationkey FROM range(10)",
+    "supplier": "SELECT id s_suppkey, CAST(id % 4 AS INT) s_nationkey FROM range(5)",
+    "part": "SELECT id p_partkey, concat('T', id % 3) p_type, CAST(id % 50 AS INT) p_size FROM range(60)",
+    "orders": """SELECT id o_orderkey, id % 10 o_custkey, 'F' o_orderstatus,
+        TIMESTAMP_NTZ '1995-01-01 00:00:00' + make_dt_interval(CAST(id AS INT)) o_orderdate,
+        '1-URGENT' o_orderpriority, CAST(100 + id AS DOUBLE) o_totalprice FROM range(300)""",
+    "lineitem": """SELECT id % 300 l_orderkey, CAST(1 + id DIV 300 AS INT) l_linenumber, id % 60 l_partkey, id % 5 l_suppkey,
+        CAST(10 + id % 7 AS DOUBLE) l_extendedprice, CAST(1 + id % 9 AS DOUBLE) l_quantity, 0.05D l_discount
+        FROM range(600)""",
+}
+
+
+def _staged_columns(spark, monkeypatch, folder, name):
     from ontide.plans import registry
 
     staged = []
@@ -201,13 +216,15 @@ def _staged_columns(spark, monkeypatch, name):
 
     registry_stage = registry.stage
     monkeypatch.setattr(registry, "stage", stage)
-    shown = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    for table, text in SOURCES.items():
+        spark.sql(text).write.parquet(f"{folder}/{table}.parquet")
+    shown = registry.QUERIES[name](spark, str(folder))
     return staged, shown
 
 
 @pytest.mark.parametrize("name", ["score_inputs_known", "imputed_mart"])
-def test_queries_stage_only_what_they_show(spark, monkeypatch, name):
-    staged, shown = _staged_columns(spark, monkeypatch, name)
+def test_queries_stage_only_what_they_show(spark, monkeypatch, tmp_path, name):
+    staged, shown = _staged_columns(spark, monkeypatch, tmp_path, name)
     assert len(staged) == 1
     assert not {"customer_city", "main_seller_city", "review_count", "delivery_days_actual"} & set(staged[0])
     assert shown.count() > 0
