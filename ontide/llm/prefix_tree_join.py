@@ -507,7 +507,9 @@ def link_documents(
     own = usable.select("digest", F.col("doc_id").alias("rep"), "text_key", "keys")
     keys = own.join(classes, ["digest", "rep", "text_key"]).select("cid", F.explode("keys").alias("key"))
     # repeated rows count as several here; the next step drops what only they share
-    shared = stage(of_several(keys).distinct())
+    # staged, so that the shuffle files of the counts have gone when the members move
+    several = stage(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
+    shared = stage(keys.join(several, "key").select("key", "cid").distinct())
     shared = stage(one_key_per_membership(stage(with_enough_keys(shared, classes))))
 
     needed = shared.select("cid").distinct().join(classes, "cid").select("cid", "rep", "text_key")

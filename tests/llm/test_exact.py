@@ -562,6 +562,22 @@ def test_linked_sets_share_enough_keys(percent):
     assert found > 100
 
 
+def test_counts_and_members_of_keys_move_one_after_the_other(spark, monkeypatch):
+    plans, stage = [], prefix_tree_join.stage
+
+    def staged(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stage(df)
+
+    monkeypatch.setattr(prefix_tree_join, "stage", staged)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join([*words, "end"]), "other words stand here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = prefix_tree_join.link_documents(docs).collect()
+    assert {r.doc_id: r.component_id for r in found} == {0: 0, 1: 0, 2: 2}
+    assert max(plan.count("Generate explode(keys") for plan in plans) == 1
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
     found = {r["node"]: r["root"] for r in prefix_tree_join.components(edges).collect()}
