@@ -114,6 +114,34 @@ def test_passage_in_many_texts_matches_brute_force(spark, chunk):
     assert [tuple(r)[1:] for r in sorted(rows, key=lambda r: r["doc_id"])] == wanted
 
 
+def test_rows_of_near_copies_grow_with_their_number(spark, monkeypatch):
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(1200))
+    made = suffix_repeats.shared_rows
+    found = []
+    for copies in (60, 240):
+        texts = []
+        for _ in range(copies):
+            at = rng.randrange(len(base))
+            texts.append(base[:at] + rng.choice("ABCDEFGH") + base[at + 1 :])
+        rows = []
+
+        def counted(classes, length):
+            shared = made(classes, length)
+            rows.append((classes.count(), shared.count()))
+            return shared
+
+        monkeypatch.setattr(suffix_repeats, "shared_rows", counted)
+        params = suffix_repeats.RepeatParams(chunk=8)
+        out = suffix_repeats.remove_repeats(documents(spark, texts), params, with_kept=True).collect()
+        got = [tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")) for r in sorted(out)]
+        assert got == brute_repeats([t.encode() for t in texts], 400)
+        found.append((rows[0][0], sum(n for _, n in rows)))
+    (few, few_rows), (many, many_rows) = found
+    # a class has some rows in each of the nine rounds
+    assert few_rows <= 40 * few and many_rows <= 40 * many, found
+
+
 def test_prefix_intervals():
     found = set(suffix_repeats.prefix_intervals([2, 3, 1, 4]))
     assert found == {(3, 1, 2), (2, 0, 2), (4, 3, 4), (1, 0, 4)}
