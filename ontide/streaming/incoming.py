@@ -18,13 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontide.functions.columns import days_between
-from ontide.operators.joins import lookup_join, sized_lookups
+from ontide.operators.joins import Lookup, lookup_join, sized_lookups
 from ontide.operators.mart import (
     ITEM_FEATURE_COLUMNS,
-    enrich_items,
+    described_products,
     item_aggregates,
     named,
     payment_aggregates,
+    seller_places,
     with_time_parts,
 )
 from ontide.operators.scoring import known_orders, score_orders
@@ -49,10 +50,11 @@ class Arrival:
     lateness: str = "1 day"
 
 
-def incoming_parts(items: DataFrame, payments: DataFrame, lookups: Mapping[str, DataFrame]) -> DataFrame:
-    """Items with their product and seller, and payments, as rows of one stream with `arrived_at`."""
-    enriched = enrich_items(items, lookups["products"], lookups["category_translation"], lookups["sellers"])
-    parts = enriched.withColumn("part", F.lit("item")).unionByName(
+def incoming_parts(items: DataFrame, payments: DataFrame, known: Mapping[str, Lookup]) -> DataFrame:
+    """Items, with the lookups `known` by their key, and payments, as rows of one stream with `arrived_at`."""
+    for key, lookup in known.items():
+        items = lookup_join(items, lookup, key)
+    parts = items.withColumn("part", F.lit("item")).unionByName(
         payments.withColumn("part", F.lit("payment")), allowMissingColumns=True
     )
     return parts.withColumnRenamed("order_id", "part_of").withColumn(
@@ -68,13 +70,18 @@ def incoming_orders(
     arrival: Arrival = Arrival(),
 ) -> DataFrame:
     """One row per order with the sources of all model features. An order without items or without
-    payments has null there, as in the mart; a part without an order gives nothing."""
+    payments has null there, as in the mart; a part without an order gives nothing.
+
+    Products and sellers that are broadcast meet the parts after these have moved to their orders, so what
+    moves and is kept in state stays narrow."""
+    names = ("customers", "products", "category_translation", "sellers")
+    sized = sized_lookups({name: lookups[name] for name in names})
     places = lookups["customers"].select("customer_id", "customer_city", "customer_state")
-    customers = sized_lookups({"customers": places})["customers"]
-    bought = lookup_join(orders, customers, "customer_id").select(
+    bought = lookup_join(orders, sized["customers"].extended(places), "customer_id").select(
         *ORDER_COLUMNS, F.col("order_purchase_timestamp").cast("timestamp").alias("purchased_at")
     )
-    parts = incoming_parts(items, payments, lookups)
+    known = {"product_id": described_products(sized), "seller_id": seller_places(sized)}
+    parts = incoming_parts(items, payments, {k: v for k, v in known.items() if not v.is_small()})
     if orders.isStreaming:
         bought = bought.withWatermark("purchased_at", arrival.lateness)
         parts = parts.withWatermark("arrived_at", arrival.lateness)
@@ -83,6 +90,9 @@ def incoming_orders(
         AND arrived_at <= purchased_at + INTERVAL {arrival.wait}"""
     )
     joined = bought.join(parts, together, "left_outer")
+    for key, lookup in known.items():
+        if lookup.is_small():
+            joined = lookup_join(joined, lookup, key)
     grouped = joined.groupBy(*ORDER_COLUMNS, "purchased_at").agg(
         *named(item_aggregates()),
         *named(payment_aggregates()),

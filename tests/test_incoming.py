@@ -50,6 +50,24 @@ def test_stored_tables_give_the_mart(tables, mart, raw):
     assert found.count() == raw["orders"].count()
 
 
+def test_small_lookups_meet_the_parts_at_their_orders(spark, tables, raw, monkeypatch):
+    import re
+
+    def joins():
+        found = incoming.incoming_orders(raw["orders"], raw["items"], raw["payments"], lookups(tables))
+        # a plan's text has the last join first
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        keys = [re.search(r"= (seller_id|part_of)#", line) for line in plan.splitlines() if "Join LeftOuter" in line]
+        return [k.group(1) for k in keys if k], found
+
+    order, small = joins()
+    assert order == ["seller_id", "part_of"]
+    monkeypatch.setattr(incoming.Lookup, "is_small", lambda self, limit_bytes=0: False)
+    order, large = joins()
+    assert order == ["part_of", "seller_id"]
+    assert differences(profiles(small), profiles(large)) == 0
+
+
 def slices(spark, df, time, path, edges):
     """One file per stretch of time, in order; files are read in the order of their writing."""
     for low, high in zip([None, *edges], [*edges, None]):
