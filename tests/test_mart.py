@@ -183,6 +183,29 @@ def test_items_are_scanned_and_dealt_once(spark, tables, tmp_path):
         spark.conf.unset("spark.sql.maxMetadataValueLength")
 
 
+def test_spread_items_are_gathered_before_they_are_reduced(spark, tables, mart, monkeypatch):
+    from ontide.operators import joins
+    from ontide.operators.mart import order_mart
+
+    def gathers(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [order_id")
+
+    def plain(df):
+        doubles = [F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
+        return df.select(*doubles)
+
+    assert gathers(order_mart(tables)) == 0
+    # every lookup is joined by a shuffle
+    monkeypatch.setattr(joins.Lookup, "is_small", lambda self, limit_bytes=0: False)
+    found = order_mart(tables)
+    assert gathers(found) == 1
+    one, two = plain(found), plain(mart)
+    assert one.exceptAll(two).count() + two.exceptAll(one).count() == 0
+    # items without an order meet none, so they don't gather in one task
+    null_key = found.select("total_price")._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnotnull(l_orderkey" in null_key
+
+
 def test_ties_of_rates_go_to_the_smallest_value(spark, mart):
     from ontide.plans.reports import key_findings
 
