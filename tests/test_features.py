@@ -228,3 +228,12 @@ def test_queries_stage_only_what_they_show(spark, monkeypatch, tmp_path, name):
     assert len(staged) == 1
     assert not {"customer_city", "main_seller_city", "review_count", "delivery_days_actual"} & set(staged[0])
     assert shown.count() > 0
+
+
+@pytest.mark.parametrize("name", ["score_inputs", "score_inputs_known"])
+def test_numeric_inputs_need_no_hidden_category(spark, monkeypatch, tmp_path, name):
+    staged, shown = _staged_columns(spark, monkeypatch, tmp_path, name)
+    assert len(staged) == 1
+    assert not {"main_product_category", "main_payment_type", "customer_city"} & set(staged[0])
+    assert {"main_seller_state", "customer_state", "purchase_day_of_week"} <= set(staged[0])
+    assert shown.count() > 0
