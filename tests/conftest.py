@@ -15,6 +15,8 @@ def spark(tmp_path_factory):
         spark__master="local[8]",
         spark__driver__memory="8g",
         spark__sql__shuffle__partitions="4",
+        # a plan's text keeps long paths whole
+        spark__sql__maxMetadataStringLength="1000",
         spark__default__parallelism="4",
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
